@@ -67,3 +67,20 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application, so that they
+    need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    made = tempfile.mkdtemp(prefix="quillmill-zip-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    name = shutil.make_archive(os.path.join(made, "quillmill"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(name)
+    _SHIPPED.add(app)
