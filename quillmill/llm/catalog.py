@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillmill.llm import (  # noqa: F401  (importing files the queries)
     cutoffs,
+    pairs,
     splits,
     truncation,
 )
