@@ -73,7 +73,7 @@ def _open_structure(t: Column) -> Column:
 def ending(text: Column) -> Column:
     """``whole``, ``cut`` or ``unclear`` (a cut only at a storage limit); null for a blank text."""
     t = F.rtrim(F.regexp_replace(text, r"(?U)[\s\x{200b}]+$", ""))
-    last = F.regexp_extract(t, r"([^\n]*)$", 1)
+    last = F.substring_index(t, "\n", -1)
     marked = F.lit(False)
     for m in CUT_MARKS:
         marked = marked | t.endswith(m)
