@@ -56,23 +56,23 @@ def hidden_limits(texts: DataFrame) -> DataFrame:
 
 def _open_structure(t: Column) -> Column:
     """Whether a fence, thinking block, box, quotation or JSON value is left open at the end."""
-    plain = F.regexp_replace(t, r"\\.", "")
+    plain = F.replace(F.replace(t, F.lit("\\\\")), F.lit('\\"'))
     outside = F.regexp_replace(plain, r'"[^"]*"', "")
     opens = (_count(outside, "{") > _count(outside, "}")) | (_count(outside, "[") > _count(outside, "]"))
-    fence = _count(t, "```") % 2 == 1
-    think = F.length(F.regexp_replace(t, "(?s)^.*</think>", "")) == F.length(t)
+    json = t.startswith("{") | t.startswith("[") | t.startswith("```")
+    box = F.substring_index(t, "\\boxed{", -1)
     return (
-        fence
-        | (t.startswith("<think>") & think)
+        (_count(t, "```") % 2 == 1)
+        | (t.startswith("<think>") & ~t.contains("</think>"))
         | (_count(plain, '"') % 2 == 1)
-        | (t.rlike(r"^(?:```\w*\s*)?[{\[]") & opens)
-        | t.rlike(r"(?s)\\boxed\{[^{}]*$")
+        | F.when(json, opens).otherwise(F.lit(False))
+        | F.when(t.contains("\\boxed{"), ~box.contains("}")).otherwise(F.lit(False))
     )
 
 
 def ending(text: Column) -> Column:
     """``whole``, ``cut`` or ``unclear`` (a cut only at a storage limit); null for a blank text."""
-    t = F.rtrim(F.regexp_replace(text, r"(?U)[\s\x{200b}]+$", ""))
+    t = F.trim(text, F.lit(" \t\r\n\u00a0\u200b"))
     last = F.substring_index(t, "\n", -1)
     marked = F.lit(False)
     for m in CUT_MARKS:
@@ -83,7 +83,7 @@ def ending(text: Column) -> Column:
         F.when(F.coalesce(t, F.lit("")) == "", F.lit(None).cast("string"))
         .when(marked | _open_structure(t), F.lit("cut"))
         .when(verdict, F.lit("whole"))
-        .when(t.rlike(r"^\s*(?:```|[{\[])|[}`]$"), F.lit("whole"))
+        .when(t.rlike(r"^(?:```|[{\[])|[}`]$"), F.lit("whole"))
         .when(last.rlike(r"[.!?。！？»”\"')\]]$"), F.lit("whole"))
         .when(last.rlike(r"^\s*(?:[-*•]|\d+[.)])\s") | short, F.lit("unclear"))
         .otherwise(F.lit("cut"))
