@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillmill.llm import (  # noqa: F401  (importing files the queries)
     cutoffs,
     leakage,
+    neardup,
     pairs,
     residue,
     splits,

@@ -90,7 +90,8 @@ def shingle_table(texts: list[str | None], hashes: WordHashes, k: int = 3) -> tu
     whole = row[: len(h) - k + 1] == row[k - 1 :]
     acc = np.zeros(len(h) - k + 1, np.uint64)
     for j in range(k):
-        acc = mix(acc + np.uint64(0x9E3779B97F4A7C15) * np.uint64(j + 1) + h[j : len(h) - k + 1 + j])
+        step = np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF)
+        acc = mix(acc + step + h[j : len(h) - k + 1 + j])
     row, acc = row[: len(acc)][whole], acc[whole]
     order = np.lexsort((acc, row))
     row, acc = row[order], acc[order]
