@@ -6,6 +6,7 @@ from quillmill.llm import (  # noqa: F401  (importing files the queries)
     cutoffs,
     leakage,
     neardup,
+    overlap,
     pairs,
     residue,
     splits,

@@ -25,25 +25,23 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingle_table, shingles
+from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles
 from quillmill.llm.registry import register
+from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
 from quillmill.session import materialize, table
 
-#: Counters of the sketch, least and most (2 bytes each on the executors), and counters per set.
-LEAST_SLOTS, MOST_SLOTS, SLOTS_PER_SET = 1 << 16, 1 << 24, 64
+#: Counters of the sketch per set.
+SLOTS_PER_SET = 64
 #: Segments of the lowest band; each further band covers four times the sizes with four times the segments.
 SEGMENTS = 64
 #: Units asked for beyond the least number, so that chance meetings stay below the demand.
 SPARE_UNITS = 10
 #: A key that may be in more sets than this is dear: only sets that lack units without it ask for it.
 DEAR = 300
-#: Texts handled at once in a task.
-BATCH = 2000
 
 
 def segment_bits(size: np.ndarray) -> np.ndarray:
@@ -75,49 +73,12 @@ class Keys:
         self.singles = mix(h ^ np.uint64(0x5851F42D4C957F2D))
 
 
-def _slot(key: np.ndarray, slots: int) -> np.ndarray:
-    return (key & np.uint64(slots - 1)).astype(np.int64)
-
-
-def _sets(pdf: pd.DataFrame, hashes: WordHashes, k: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
-    for at in range(0, len(pdf), BATCH):
-        part = pdf.iloc[at : at + BATCH]
-        row, h = shingle_table(part["text"].tolist(), hashes, k)
-        yield part, row, h, np.bincount(row, minlength=len(part))
-
-
 def _index_bits(size: np.ndarray, t: Fraction) -> np.ndarray:
     """Segment bits a set is indexed under: those of the smallest partner it may have, whose
     segments hold its own."""
     return segment_bits(np.ceil(size * float(t) - 1e-9))
 
 
-def _sketch(sets: DataFrame, slots: int, t: Fraction, k: int) -> np.ndarray:
-    """How many sets hold a key of each slot (at least the number that hold the key)."""
-    slices = 64
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, total = WordHashes(), np.zeros(slots, np.uint32)
-        for pdf in batches:
-            for _, row, h, size in _sets(pdf, hashes, k):
-                keys = Keys(row, h, _index_bits(size, t))
-                for x in (keys.pairs, keys.singles):
-                    total += np.bincount(_slot(x, slots), minlength=slots).astype(np.uint32)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield pd.DataFrame({"slice": range(slices), "counts": [pack(x.tobytes()) for x in np.split(total, slices)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
-        total = np.zeros(slots // slices, np.uint64)
-        for b in pdf["counts"]:
-            total += np.frombuffer(unpack(b), np.uint32)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
-
-    rows = sets.select("text").mapInPandas(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    got = {r["slice"]: np.frombuffer(r["counts"], np.uint16) for r in rows}  # ``slots`` counters, whatever the number of sets
-    return np.concatenate([got.get(s, np.zeros(slots // slices, np.uint16)) for s in range(slices)])
-
-
 def _asks(keys: Keys, size: np.ndarray, cost: np.ndarray, slots: int, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, key) each set asks with and the units of every row."""
     row, n_seg = keys.row, (keys.segment[-1] + 1 if len(keys.segment) else 0)
@@ -125,7 +86,7 @@ def _asks(keys: Keys, size: np.ndarray, cost: np.ndarray, slots: int, t: Fractio
     tokens = np.bincount(keys.segment, minlength=n_seg)
     seg_row = np.zeros(n_seg, np.int64)
     seg_row[keys.segment] = row
-    pair_seg, pair_cost = keys.segment[keys.left], cost[_slot(keys.pairs, slots)].astype(np.float64)
+    pair_seg, pair_cost = keys.segment[keys.left], cost[slot(keys.pairs, slots)].astype(np.float64)
     paid = np.where(pair_cost > 1, pair_cost, 0.0)
     full = np.bincount(pair_seg, paid, minlength=n_seg)
     worst = np.zeros(n_seg)
@@ -135,7 +96,7 @@ def _asks(keys: Keys, size: np.ndarray, cost: np.ndarray, slots: int, t: Fractio
     first[pair_seg[order][::-1]] = order[::-1]  # cheapest pair of each segment
     least = np.where(first >= 0, pair_cost[first], np.inf)
     alone = tokens == 1
-    single_cost = cost[_slot(keys.singles, slots)].astype(np.float64)
+    single_cost = cost[slot(keys.singles, slots)].astype(np.float64)
     own = np.zeros(n_seg)
     own[keys.segment] = single_cost  # of use where the segment has one token
     # a segment with a dear pair asks with its cheapest pair alone, if that one is not dear
@@ -171,22 +132,27 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3) ->
     are better taken out first.
     """
     n = sets.count()
-    slots = 1 << int(np.clip(np.ceil(np.log2(max(1, SLOTS_PER_SET * n))), np.log2(LEAST_SLOTS), np.log2(MOST_SLOTS)))
+    slots = slots_for(n, SLOTS_PER_SET)
     sc = sets.sparkSession.sparkContext
-    sent = sc.broadcast(_sketch(sets, slots, t, k))
+
+    def keys_of(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        keys = Keys(row, h, _index_bits(size, t))
+        return [keys.pairs, keys.singles]
+
+    sent = sc.broadcast(count_sketch(sets, slots, keys_of, k))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, cost = WordHashes(), sent.value
         for pdf in batches:
-            for part, row, h, size in _sets(pdf, hashes, k):
+            for part, row, h, size in set_batches(pdf, hashes, k):
                 no = part["no"].to_numpy()
                 index = Keys(row, h, _index_bits(size, t))
                 key = np.concatenate((index.pairs, index.singles))
                 of = np.concatenate((index.row[index.left], index.row))
-                price = cost[_slot(key, slots)]
+                price = cost[slot(key, slots)]
                 keep = (price > 1) & (price <= DEAR)
                 ask_of, ask_key, units = _asks(Keys(row, h, segment_bits(size)), size, cost, slots, t)
-                price = cost[_slot(ask_key, slots)]
+                price = cost[slot(ask_key, slots)]
                 asked = price > 1
                 ask_of, ask_key = ask_of[asked], ask_key[asked]
                 yield pd.DataFrame(
@@ -211,11 +177,11 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3) ->
         def dear_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, cost, flag = WordHashes(), sent.value, np.unpackbits(wanted.value).astype(bool)
             for pdf in batches:
-                for part, row, h, size in _sets(pdf, hashes, k):
+                for part, row, h, size in set_batches(pdf, hashes, k):
                     index = Keys(row, h, _index_bits(size, t))
                     key = np.concatenate((index.pairs, index.singles))
                     of = np.concatenate((index.row[index.left], index.row))
-                    s = _slot(key, slots)
+                    s = slot(key, slots)
                     keep = (cost[s] > DEAR) & flag[s]
                     yield pd.DataFrame({"key": key[keep].view(np.int64), "b": part["no"].to_numpy()[of[keep]], "nb": size[of[keep]].astype(np.int32)})
 
@@ -248,7 +214,7 @@ def distinct_sets(texts: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for pdf in batches:
-            for part, row, h, size in _sets(pdf, hashes, k):
+            for part, row, h, size in set_batches(pdf, hashes, k):
                 at = np.concatenate(([0], np.cumsum(size)))
                 digest = [xxhash.xxh3_128_digest(h[at[i] : at[i + 1]].tobytes()) for i in range(len(part))]
                 out = pd.DataFrame({"no": part["no"], "set": digest, "text": part["text"]})
