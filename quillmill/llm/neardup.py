@@ -9,21 +9,27 @@ one-deletion neighbourhood): while fewer than g - 1 of the segment's tokens are
 left whole. A segment with one token counts one unit. A set that asks with more units than tokens
 may be missing must find at least (units - missing) of its pairs in every partner, so
 
-* the index holds the pairs of every set, by segment of its band, and single tokens where needed;
 * every set asks with the cheapest segments that reach the units it needs, priced by a counting
-  sketch over the pairs of all sets: a pair in no other set costs nothing and is never shuffled;
-* two sets that meet in fewer pairs than the pigeonhole demands are dropped before comparison.
+  sketch over the pairs of all sets: a pair in no other set costs nothing and is never asked for;
+* the asked pairs (and single tokens, where needed) are indexed in blocks of bounded size in the
+  shared folder, and every set is looked up in every block with all pairs of its segments;
+* two sets that meet in fewer pairs than the pigeonhole demands are dropped at once, in memory, so
+  chance meetings are never shuffled.
 
 What is left is compared exactly, word by word. Exact copies are one set from the start.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,16 +38,19 @@ from quillmill.llm.components import connected_components
 from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
-from quillmill.session import materialize, table
+from quillmill.session import materialize, shared_dir, table
 
 #: Counters of the sketch per set.
 SLOTS_PER_SET = 64
 #: Segments of the lowest band; each further band covers four times the sizes with four times the segments.
 SEGMENTS = 64
 #: Units asked for beyond the least number, so that chance meetings stay below the demand.
-SPARE_UNITS = 10
+SPARE_UNITS = 6
 #: A key that may be in more sets than this is dear: only sets that lack units without it ask for it.
 DEAR = 300
+#: Sets whose asks form a block (about 500 bytes each in a worker), its slots, sets looked up at
+#: once, and meetings sorted at once.
+BLOCK_SETS, BLOCK_SLOTS, SCAN_SETS, MEETINGS = 60_000, 1 << 22, 40_000, 4_000_000
 
 
 def segment_bits(size: np.ndarray) -> np.ndarray:
@@ -123,7 +132,62 @@ def _asks(keys: Keys, size: np.ndarray, cost: np.ndarray, slots: int, t: Fractio
     return np.concatenate((row[keys.left][use], row[lone])), np.concatenate((keys.pairs[use], keys.singles[lone])), total
 
 
-def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3) -> DataFrame:
+class Block:
+    """Asked keys of some sets, by slot."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        self.no = rows["no"].to_numpy()
+        self.size = rows["size"].to_numpy().astype(np.int64)
+        self.units = rows["units"].to_numpy().astype(np.int64)
+        keys = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
+        of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        at = slot(np.concatenate(keys) if keys else np.zeros(0, np.uint64), BLOCK_SLOTS)
+        order = np.argsort(at, kind="stable")
+        self.asks = of[order].astype(np.int64)
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=BLOCK_SLOTS))))
+
+    def meetings(self, row: np.ndarray, at: np.ndarray, no: np.ndarray, size: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the smaller set, of the larger) that meet often enough; ``row`` and ``at``
+        are the rows and slots of the keys the larger sets hold, ordered by row."""
+        first, count = self.start[at], self.start[at + 1] - self.start[at]
+        hit = count > 0
+        row, first, count = row[hit], first[hit], count[hit]
+        total = np.cumsum(count)
+        cut = 0
+        while cut < len(row):  # whole rows, of bounded meetings together
+            base = total[cut] - count[cut]
+            end = max(int(np.searchsorted(total, base + MEETINGS, "right")), int(np.searchsorted(row, row[cut], "right")))
+            end = int(np.searchsorted(row, row[end], "left")) if end < len(row) and row[end] == row[end - 1] and row[end] != row[cut] else end
+            f, c = first[cut:end], count[cut:end]
+            which = np.repeat(f - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            code = np.sort(np.repeat(row[cut:end], c) << 32 | self.asks[which])
+            new = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+            met = np.diff(np.concatenate((new, [len(code)])))
+            b, a = code[new] >> 32, code[new] & 0xFFFFFFFF
+            na, nb, num, den = self.size[a], size[b], t.numerator, t.denominator
+            missing = na + (-num * (na + nb)) // (num + den)
+            ok = (met >= self.units[a] - missing) & ((na < nb) | (na == nb) & (self.no[a] < no[b])) & (nb * num <= na * den)
+            yield self.no[a[ok]], no[b[ok]]
+            cut = end
+
+
+_LOADED: dict[str, Block] = {}
+
+
+def _block(path: str) -> Block:
+    """A block of asks from the shared folder; the last few stay in the worker."""
+    if path not in _LOADED:
+        while len(_LOADED) >= 2:
+            del _LOADED[next(iter(_LOADED))]
+        fs, at = pyarrow.fs.FileSystem.from_uri(path)
+        found = fs.get_file_info(pyarrow.fs.FileSelector(at, allow_not_found=True))
+        files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+        empty = pa.table({"no": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "units": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
+        _LOADED[path] = Block(pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None).select(empty.column_names).cast(empty.schema) for f in files] or [empty]))
+    return _LOADED[path]
+
+
+def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, block_sets: int = BLOCK_SETS) -> DataFrame:
     """(a, b): the numbers of all texts whose distinct ``k``-word shingles have Jaccard
     similarity ``t`` or more, a < b.
 
@@ -132,69 +196,64 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3) ->
     are better taken out first.
     """
     n = sets.count()
+    spark = sets.sparkSession
     slots = slots_for(n, SLOTS_PER_SET)
-    sc = sets.sparkSession.sparkContext
 
     def keys_of(row: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
         keys = Keys(row, h, _index_bits(size, t))
         return [keys.pairs, keys.singles]
 
-    sent = sc.broadcast(count_sketch(sets, slots, keys_of, k))
+    sent = spark.sparkContext.broadcast(count_sketch(sets, slots, keys_of, k))
+    blocks = max(1, -(-n // block_sets))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, cost = WordHashes(), sent.value
         for pdf in batches:
             for part, row, h, size in set_batches(pdf, hashes, k):
+                of, key, units = _asks(Keys(row, h, segment_bits(size)), size, cost, slots, t)
+                asked = cost[slot(key, slots)] > 1
+                of, key = of[asked], key[asked]
+                order = np.argsort(of, kind="stable")
+                cuts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part)))))
+                key = key[order]
                 no = part["no"].to_numpy()
-                index = Keys(row, h, _index_bits(size, t))
-                key = np.concatenate((index.pairs, index.singles))
-                of = np.concatenate((index.row[index.left], index.row))
-                price = cost[slot(key, slots)]
-                keep = (price > 1) & (price <= DEAR)
-                ask_of, ask_key, units = _asks(Keys(row, h, segment_bits(size)), size, cost, slots, t)
-                price = cost[slot(ask_key, slots)]
-                asked = price > 1
-                ask_of, ask_key = ask_of[asked], ask_key[asked]
-                yield pd.DataFrame(
-                    {
-                        "key": np.concatenate((key[keep], ask_key)).view(np.int64),
-                        "no": no[np.concatenate((of[keep], ask_of))],
-                        "size": size[np.concatenate((of[keep], ask_of))].astype(np.int32),
-                        "units": np.concatenate((np.zeros(int(keep.sum()), np.int32), units[ask_of].astype(np.int32))),
-                        "dear": np.concatenate((np.zeros(int(keep.sum()), bool), price[asked] > DEAR)),
-                    }
-                )
-
-    table_ = materialize(sets.select("no", "text").mapInPandas(rows, "key long, no long, size int, units int, dear boolean"), "keys")
-    asks = table_.where("units > 0").select("key", F.col("no").alias("a"), F.col("size").alias("na"), "units")
-    index = table_.where("units = 0").select("key", F.col("no").alias("b"), F.col("size").alias("nb"))
-    needed = [r["slot"] for r in table_.where("dear").select(F.col("key").bitwiseAND(F.lit(slots - 1)).alias("slot")).distinct().collect()]  # at most ``slots``
-    if needed:
-        flags = np.zeros(slots, bool)
-        flags[needed] = True
-        wanted = sc.broadcast(np.packbits(flags))
-
-        def dear_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes, cost, flag = WordHashes(), sent.value, np.unpackbits(wanted.value).astype(bool)
-            for pdf in batches:
-                for part, row, h, size in set_batches(pdf, hashes, k):
-                    index = Keys(row, h, _index_bits(size, t))
-                    key = np.concatenate((index.pairs, index.singles))
-                    of = np.concatenate((index.row[index.left], index.row))
-                    s = slot(key, slots)
-                    keep = (cost[s] > DEAR) & flag[s]
-                    yield pd.DataFrame({"key": key[keep].view(np.int64), "b": part["no"].to_numpy()[of[keep]], "nb": size[of[keep]].astype(np.int32)})
-
-        index = index.union(sets.select("no", "text").mapInPandas(dear_rows, "key long, b long, nb int"))
-    num, den = t.numerator, t.denominator
-    missing = F.expr(f"na - (({num} * (na + nb) + {num + den - 1}) div {num + den})")
-    met = (
-        asks.join(index, "key")
-        .where(f"(na < nb or (na = nb and a < b)) and nb * {num} <= na * {den}")
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("units").alias("units"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    )
-    candidates = materialize(met.where(F.col("n") >= F.col("units") - missing).select("a", "b"), "candidates")
+                out = {"no": no, "size": size, "units": units, "keys": [key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], "block": (mix(no.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)}
+                yield pd.DataFrame(out)[np.diff(cuts) > 0]
+
+    asks = f"{shared_dir(spark)}/asks-{uuid.uuid4().hex}"
+    sets.select("no", "text").mapInPandas(ask, "no long, size int, units int, keys binary, block int").write.partitionBy("block").parquet(asks)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        waiting: list[pd.DataFrame] = []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            pdf = pd.concat(waiting)
+            waiting.clear()
+            parts = []
+            for part, row, h, size in set_batches(pdf, hashes, k):
+                keys = Keys(row, h, _index_bits(size, t))
+                of, key = np.concatenate((row[keys.left], row)), np.concatenate((keys.pairs, keys.singles))
+                at = slot(key, BLOCK_SLOTS)
+                held = sent.value[slot(key, slots)] > 1
+                of, at = of[held], at[held]
+                order = np.argsort(of, kind="stable")
+                parts.append((of[order], at[order].astype(np.int32), part["no"].to_numpy(), size))
+            for b in range(blocks):
+                block = _block(f"{asks}/block={b}")
+                for of, at, no, size in parts:
+                    for x, y in block.meetings(of, at, no, size, t):
+                        yield pd.DataFrame({"a": x, "b": y})
+
+        for pdf in batches:
+            waiting.append(pdf)
+            if sum(map(len, waiting)) >= SCAN_SETS or sum(int(x["text"].str.len().sum()) for x in waiting) > SCAN_SETS * 1000:
+                yield from flush()
+        if waiting:
+            yield from flush()
+
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // SCAN_SETS))
+    candidates = materialize(sets.select("no", "text").repartition(tasks).mapInPandas(scan, "a long, b long"), "candidates")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -34,7 +34,7 @@ def test_every_similar_pair_is_found(spark, monkeypatch, seed, t, k, dear):
     sets = list({frozenset(shingles(x, k)): (no, x) for no, x in enumerate(texts)}.values())
     want = {(a, b) for a, x in sets for b, y in sets if a < b and jaccard(shingles(x, k), shingles(y, k)) >= t}
     df = spark.createDataFrame(sets, "no long, text string").repartition(3)
-    got = [tuple(r) for r in similar_pairs(df, t, k).collect()]
+    got = [tuple(r) for r in similar_pairs(df, t, k, 40).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
 
 
