@@ -7,6 +7,7 @@ from quillmill.llm import (  # noqa: F401  (importing files the queries)
     leakage,
     neardup,
     overlap,
+    packing,
     pairs,
     residue,
     splits,
