@@ -29,9 +29,9 @@ from quillmill.llm.splits import dataset_name
 from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
 
-#: Evaluation words in one shard (its automaton takes about 300 bytes a word), and patterns a
+#: Evaluation words in one shard (its automaton takes about 100 bytes a word), and patterns a
 #: record has beyond the least number.
-SHARD_WORDS, SPARE_PATTERNS = 500_000, 8
+SHARD_WORDS, SPARE_PATTERNS = 1_200_000, 3
 
 
 def patterns_of(ws: list[str], rarity: np.ndarray, at: np.ndarray, number: int) -> list[tuple[str, int]]:
@@ -81,10 +81,10 @@ class Shard:
         self.t = t
 
     def partners(self, text: str, size: int) -> list[tuple[int, int]]:
-        """(evaluation number, covered words) of the records a text may be similar to."""
+        """(evaluation number, covered words) of the records a normalised text may be similar to."""
         if not self.records:
             return []
-        found = list({n for _, n in self.automaton.iter(" " + " ".join(words(text)) + " ")})
+        found = list({n for _, n in self.automaton.iter(text)})
         if not found:
             return []
         hits = np.bincount(np.concatenate([self.records[n] for n in found]), minlength=len(self.size))
@@ -102,16 +102,20 @@ class Shard:
 _BUILT: dict[str, Shard] = {}
 
 
+def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for pdf in batches:
+        for part, _, _, size in set_batches(pdf, hashes, 3):
+            yield pd.DataFrame({"no": part["no"], "text": [" " + " ".join(words(t)) + " " for t in part["text"]], "size": size})
+
+
 def _scan(batches: Iterator[pd.DataFrame], name: str, shard: tuple[list[int], list[str]], sketch: np.ndarray, t: Fraction) -> Iterator[pd.DataFrame]:
     if name not in _BUILT:
         _BUILT.clear()
         _BUILT[name] = Shard(*shard, sketch, t)
-    built, hashes = _BUILT[name], WordHashes()
+    built = _BUILT[name]
     for pdf in batches:
-        rows = []
-        for part, _, _, size in set_batches(pdf, hashes, 3):
-            for no, text, n in zip(part["no"], part["text"], size):
-                rows += [(no, e, c) for e, c in built.partners(text, int(n))]
+        rows = [(no, e, c) for no, text, n in zip(pdf["no"], pdf["text"], pdf["size"]) for e, c in built.partners(text, n)]
         yield pd.DataFrame(rows, columns=["train", "eval", "covered"])
 
 
@@ -138,12 +142,13 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
             room = 0
         shards[-1][1] = r["b"]
         room += r["w"]
+    plain = materialize(train.select("no", "text").mapInPandas(_normalised, "no long, text string, size int"), "normalised")
     found = None
     for s, (lo, hi) in enumerate(shards):
         rows = ranked.where(F.floor(F.col("k") / 1000).between(lo, hi)).select("no", "text").collect()  # one shard
         sent = sc.broadcast(([r["no"] for r in rows], [r["text"] for r in rows]))
         name = f"{sc.applicationId}-{id(sent)}-{s}"
-        scan = train.select("no", "text").mapInPandas(lambda b, sent=sent, name=name: _scan(b, name, sent.value, sketch.value, t), "train long, eval long, covered int")
+        scan = plain.mapInPandas(lambda b, sent=sent, name=name: _scan(b, name, sent.value, sketch.value, t), "train long, eval long, covered int")
         some = materialize(scan, "found")
         sent.destroy()
         found = some if found is None else found.union(some)
