@@ -15,9 +15,3 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def queries() -> dict:
-    return {k: f for k, (f, _) in REGISTRY.items()}
-
-
-def oracle_sql() -> dict:
-    return {k: s for k, (_, s) in REGISTRY.items() if s}
