@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.plans import filtering  # noqa: F401  (importing files the queries)
+from quillmill.plans import filtering, joining, measuring, reshaping, sampling  # noqa: F401  (importing files the queries)
 from quillmill.plans.registry import REGISTRY
 
 
