@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.neardup import distinct_sets
-from quillmill.llm.prompts import WordHashes, jaccard, question_of, scene_of, shingle_table, shingles, words
+from quillmill.llm.prompts import WordHashes, jaccard, question_of, run_hashes, scene_of, shingles, words
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
 from quillmill.llm.splits import dataset_name
@@ -59,12 +59,8 @@ class Shard:
         hashes = WordHashes()
         for e, text in enumerate(texts):
             ws = words(text)
-            first: dict[tuple[str, ...], int] = {}
-            for i in range(len(ws) - 2):
-                first.setdefault(tuple(ws[i : i + 3]), i)
-            self.size[e] = a = len(first)
-            at = np.fromiter(first.values(), np.int64, a)
-            _, h = shingle_table([" ".join(g) for g in first], hashes)
+            h, at = np.unique(run_hashes(np.array(hashes(ws), np.uint64)), return_index=True)
+            self.size[e] = a = len(h)
             number = min(a, a - int(np.ceil(a * float(t) - 1e-9)) + 1 + SPARE_PATTERNS)
             for p, i in patterns_of(ws, sketch[slot(h, len(sketch))], at, number):
                 posting.setdefault(p, []).append((e, i))

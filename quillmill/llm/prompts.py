@@ -75,6 +75,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(h: np.ndarray, k: int = 3) -> np.ndarray:
+    """Hash of every run of ``k`` word hashes, by its first place."""
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    acc = np.zeros(len(h) - k + 1, np.uint64)
+    for j in range(k):
+        step = np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF)
+        acc = mix(acc + step + h[j : len(h) - k + 1 + j])
+    return acc
+
+
 def shingle_table(texts: list[str | None], hashes: WordHashes, k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct ``k``-word shingles of every text, ordered by row and hash."""
     flat: list[int] = []
@@ -83,15 +94,11 @@ def shingle_table(texts: list[str | None], hashes: WordHashes, k: int = 3) -> tu
         ws = words(t)
         n_words[i] = len(ws)
         flat += hashes(ws)
-    h = np.array(flat, np.uint64)
     row = np.repeat(np.arange(len(texts)), n_words)
-    if len(h) < k:
+    acc = run_hashes(np.array(flat, np.uint64), k)
+    if not len(acc):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    whole = row[: len(h) - k + 1] == row[k - 1 :]
-    acc = np.zeros(len(h) - k + 1, np.uint64)
-    for j in range(k):
-        step = np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF)
-        acc = mix(acc + step + h[j : len(h) - k + 1 + j])
+    whole = row[: len(acc)] == row[k - 1 :]
     row, acc = row[: len(acc)][whole], acc[whole]
     order = np.lexsort((acc, row))
     row, acc = row[order], acc[order]
