@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.plans import filtering, joining, judging, measuring, reshaping, sampling, texts  # noqa: F401  (importing files the queries)
+from quillmill.plans import filtering, ingesting, joining, judging, measuring, reshaping, sampling, texts  # noqa: F401  (importing files the queries)
 from quillmill.plans.registry import REGISTRY
 
 
