@@ -34,7 +34,7 @@ def second_pass(df: DataFrame, need: Column, step: Callable[[DataFrame], DataFra
     from quillmill.operators.joins import update_rows
 
     again = materialize(step(df.where(F.coalesce(need, F.lit(False)))), "second")
-    return update_rows(df, again, key, columns).withColumn("reason", F.when(F.coalesce(need, F.lit(False)), reason))
+    return update_rows(df.withColumn("reason", F.when(F.coalesce(need, F.lit(False)), reason)), again, key, columns)
 
 
 def retry_collisions(df: DataFrame, step: Callable[[DataFrame], DataFrame], sig: Column, key: str) -> DataFrame:
