@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
-from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles
+from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles, words
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
 from quillmill.session import materialize, shared_dir, table
@@ -266,8 +266,9 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, blo
 
 
 def distinct_sets(texts: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Members (no, rep) and one text per distinct shingle set (no, text), where ``rep`` is the
-    smallest number with that set. ``texts`` has (no, text); null numbers, and texts of fewer
+    """Members (no, rep) and one text per distinct shingle set (no, text, size), where ``rep`` is
+    the smallest number with that set, ``text`` its words with single blanks between them and
+    ``size`` its number of shingles. ``texts`` has (no, text); null numbers, and texts of fewer
     than ``k`` words, are in neither; a repeated number counts once."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,13 +277,14 @@ def distinct_sets(texts: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
             for part, row, h, size in set_batches(pdf, hashes, k):
                 at = np.concatenate(([0], np.cumsum(size)))
                 digest = [xxhash.xxh3_128_digest(h[at[i] : at[i + 1]].tobytes()) for i in range(len(part))]
-                out = pd.DataFrame({"no": part["no"], "set": digest, "text": part["text"]})
+                plain = [" ".join(words(x)) for x in part["text"]]
+                out = pd.DataFrame({"no": part["no"], "set": digest, "text": plain, "size": size})
                 yield out[size > 0]
 
-    rows = materialize(texts.where("no is not null and text is not null").select("no", "text").mapInPandas(keyed, "no long, set binary, text string"), "sets")
+    rows = materialize(texts.where("no is not null and text is not null").select("no", "text").mapInPandas(keyed, "no long, set binary, text string, size int"), "sets")
     rep = rows.groupBy("set").agg(F.min("no").alias("rep"))
     member = materialize(rows.select("no", "set").join(rep, "set").groupBy("no").agg(F.min("rep").alias("rep")), "members")
-    chosen = rows.join(member.where("no = rep").select("no"), "no").select("no", "text").dropDuplicates(["no"])
+    chosen = rows.join(member.where("no = rep").select("no"), "no").select("no", "text", "size").dropDuplicates(["no"])
     return member, materialize(chosen, "texts")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.neardup import distinct_sets
 from quillmill.llm.prompts import WordHashes, jaccard, question_of, run_hashes, scene_of, shingles, words
 from quillmill.llm.registry import register
-from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
+from quillmill.llm.sketch import count_sketch, slot, slots_for
 from quillmill.llm.splits import dataset_name
 from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
@@ -34,10 +34,21 @@ from quillmill.session import materialize, table
 SHARD_WORDS, SPARE_PATTERNS = 1_200_000, 3
 
 
-def patterns_of(ws: list[str], rarity: np.ndarray, at: np.ndarray, number: int) -> list[tuple[str, int]]:
-    """The ``number`` rarest runs as (pattern, first place); ``at``: places of distinct runs."""
-    chosen = at[np.argsort(rarity, kind="stable")[:number]]
-    return [(" " + " ".join(ws[i : i + 3]) + " ", int(i)) for i in chosen]
+def _patterns(batches: Iterator[pd.DataFrame], sketch: np.ndarray, t: Fraction) -> Iterator[pd.DataFrame]:
+    """Of every evaluation text its size, the patterns it asks with (the rarest runs by the
+    sketch) and their places, and how many of them any partner holds at least."""
+    hashes = WordHashes()
+    for pdf in batches:
+        rows = []
+        for no, text in zip(pdf["no"], pdf["text"]):
+            ws = words(text)
+            h, at = np.unique(run_hashes(np.array(hashes(ws), np.uint64)), return_index=True)
+            a = len(h)
+            lost = a - int(np.ceil(a * float(t) - 1e-9))
+            number = min(a, lost + 1 + SPARE_PATTERNS)
+            chosen = at[np.argsort(sketch[slot(h, len(sketch))], kind="stable")[:number]]
+            rows.append((no, a, number, number - lost, "\n".join(" " + " ".join(ws[i : i + 3]) + " " for i in chosen), chosen.astype(np.int32).tobytes(), len(ws)))
+        yield pd.DataFrame(rows, columns=["no", "size", "asked", "least", "patterns", "places", "words"])
 
 
 def merged(places: list[int], k: int = 3) -> int:
@@ -52,27 +63,23 @@ def merged(places: list[int], k: int = 3) -> int:
 class Shard:
     """Automaton over the patterns of some evaluation texts, and what each of them demands."""
 
-    def __init__(self, numbers: list[int], texts: list[str], sketch: np.ndarray, t: Fraction) -> None:
-        self.numbers = np.array(numbers, np.int64)
-        posting: dict[str, list[tuple[int, int]]] = {}
-        self.size, self.asked, self.least = (np.zeros(len(texts), np.int64) for _ in range(3))
-        hashes = WordHashes()
-        for e, text in enumerate(texts):
-            ws = words(text)
-            h, at = np.unique(run_hashes(np.array(hashes(ws), np.uint64)), return_index=True)
-            self.size[e] = a = len(h)
-            number = min(a, a - int(np.ceil(a * float(t) - 1e-9)) + 1 + SPARE_PATTERNS)
-            for p, i in patterns_of(ws, sketch[slot(h, len(sketch))], at, number):
-                posting.setdefault(p, []).append((e, i))
-            self.asked[e] = number
-            self.least[e] = number - (a - int(np.ceil(a * float(t) - 1e-9)))
+    def __init__(self, rows: pd.DataFrame, t: Fraction) -> None:
+        self.numbers, self.size, self.asked, self.least = (rows[c].to_numpy(np.int64) for c in ("no", "size", "asked", "least"))
+        of: dict[str, int] = {}
+        pattern, record, place = [], [], []
+        for e, (ps, at) in enumerate(zip(rows["patterns"], rows["places"])):
+            ps = ps.split("\n") if ps else []
+            pattern += [of.setdefault(p, len(of)) for p in ps]
+            record += [e] * len(ps)
+            place.append(np.frombuffer(at, np.int32))
+        order = np.argsort(np.array(pattern, np.int64), kind="stable")
+        cuts = np.cumsum(np.bincount(np.array(pattern, np.int64), minlength=len(of)))[:-1] if of else []
+        self.records = np.split(np.array(record, np.int64)[order], cuts) if of else []
+        self.places = np.split(np.concatenate(place)[order], cuts) if of else []
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.records, self.places = [], []
-        for n, (p, es) in enumerate(posting.items()):
+        for p, n in of.items():
             self.automaton.add_word(p, n)
-            self.records.append(np.array([e for e, _ in es], np.int64))
-            self.places.append([i for _, i in es])
-        if posting:
+        if of:
             self.automaton.make_automaton()
         self.t = t
 
@@ -90,28 +97,21 @@ class Shard:
         ok = (hits[some] >= self.asked[some] - (a - shared)) & (a * num <= size * den) & (size * num <= a * den)
         out = []
         for e in some[ok]:
-            places = [i for n in found for r, i in zip(self.records[n], self.places[n]) if r == e]
-            out.append((int(self.numbers[e]), merged(places)))
+            places = np.concatenate([self.places[n][self.records[n] == e] for n in found])
+            out.append((int(self.numbers[e]), merged(places.tolist())))
         return out
 
 
 _BUILT: dict[str, Shard] = {}
 
 
-def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
-    for pdf in batches:
-        for part, _, _, size in set_batches(pdf, hashes, 3):
-            yield pd.DataFrame({"no": part["no"], "text": [" " + " ".join(words(t)) + " " for t in part["text"]], "size": size})
-
-
-def _scan(batches: Iterator[pd.DataFrame], name: str, shard: tuple[list[int], list[str]], sketch: np.ndarray, t: Fraction) -> Iterator[pd.DataFrame]:
+def _scan(batches: Iterator[pd.DataFrame], name: str, rows: pd.DataFrame, t: Fraction) -> Iterator[pd.DataFrame]:
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = Shard(*shard, sketch, t)
+        _BUILT[name] = Shard(rows, t)
     built = _BUILT[name]
     for pdf in batches:
-        rows = [(no, e, c) for no, text, n in zip(pdf["no"], pdf["text"], pdf["size"]) for e, c in built.partners(text, n)]
+        rows = [(no, e, c) for no, text, n in zip(pdf["no"], pdf["text"], pdf["size"]) for e, c in built.partners(f" {text} ", n)]
         yield pd.DataFrame(rows, columns=["train", "eval", "covered"])
 
 
@@ -119,7 +119,8 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
     """(train, eval, similarity, covered) of all pairs of a training and an evaluation text whose
     distinct runs of three words have Jaccard similarity ``t`` or more.
 
-    Both tables have (no: bigint, text: string), no number twice, and are read several times.
+    Both tables have (no: bigint, text: string, size: int) as `distinct_sets` gives them (words
+    with single blanks, number of shingles), no number twice, and are read several times.
     ``covered`` is how many words of the evaluation text its found patterns cover. Texts of fewer
     than three words are similar to none; empty tables give no rows.
     """
@@ -127,8 +128,8 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
     sc = spark.sparkContext
     slots = slots_for(evaluation.count(), 64, most=1 << 22)
     sketch = sc.broadcast(count_sketch(evaluation, slots, lambda row, h, size: [h], 3))
-    length = F.size(F.split("text", " "))
-    ranked = materialize(global_rank(evaluation.select("no", "text", length.alias("words")), [F.col("no")], "k"), "evaluation")
+    asked = evaluation.select("no", "text").mapInPandas(lambda b: _patterns(b, sketch.value, t), "no long, size int, asked int, least int, patterns string, places binary, words int")
+    ranked = materialize(global_rank(asked, [F.col("no")], "k"), "evaluation")
     parts = ranked.groupBy(F.floor(F.col("k") / 1000).alias("b")).agg(F.sum("words").alias("w")).orderBy("b").collect()  # a row per thousand texts
     shards: list[list[int]] = []
     room = 0
@@ -138,13 +139,11 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
             room = 0
         shards[-1][1] = r["b"]
         room += r["w"]
-    plain = materialize(train.select("no", "text").mapInPandas(_normalised, "no long, text string, size int"), "normalised")
     found = None
     for s, (lo, hi) in enumerate(shards):
-        rows = ranked.where(F.floor(F.col("k") / 1000).between(lo, hi)).select("no", "text").collect()  # one shard
-        sent = sc.broadcast(([r["no"] for r in rows], [r["text"] for r in rows]))
+        sent = sc.broadcast(ranked.where(F.floor(F.col("k") / 1000).between(lo, hi)).drop("k", "words").toPandas())  # one shard
         name = f"{sc.applicationId}-{id(sent)}-{s}"
-        scan = plain.mapInPandas(lambda b, sent=sent, name=name: _scan(b, name, sent.value, sketch.value, t), "train long, eval long, covered int")
+        scan = train.select("no", "text", "size").mapInPandas(lambda b, sent=sent, name=name: _scan(b, name, sent.value, t), "train long, eval long, covered int")
         some = materialize(scan, "found")
         sent.destroy()
         found = some if found is None else found.union(some)

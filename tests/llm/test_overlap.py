@@ -20,7 +20,7 @@ def test_every_cross_pair_is_found(spark, seed, t, shard_words):
     left = [(no, x) for no, x in enumerate(texts) if not side[no]]
     right = [(no, x) for no, x in enumerate(texts) if side[no]]
     want = {(a, b) for a, x in left for b, y in right if jaccard(shingles(x), shingles(y)) >= t}
-    df = lambda rows: spark.createDataFrame(rows, "no long, text string").repartition(2)
+    df = lambda rows: spark.createDataFrame([(no, x, len(shingles(x))) for no, x in rows], "no long, text string, size int").repartition(2)
     got = [(r["train"], r["eval"]) for r in cross_pairs(df(left), df(right), t, shard_words).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
 
