@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.prompts import words
+from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
@@ -153,7 +154,7 @@ def near_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack:
     return out.groupBy("doc_id", "item_id").agg(F.max("met").alias("met"), F.max("anchors").alias("anchors"))
 
 
-@register("p8_found")
+@register("p8_found", sql.P8)
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold twelve or more consecutive words of an item's passage."""
     return leaked_phrases(table(spark, d, "documents"), table(spark, d, "bench_item")).select("doc_id", "item_id")

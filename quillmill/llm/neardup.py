@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
 from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles, words
+from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
 from quillmill.session import materialize, shared_dir, table
@@ -308,7 +309,7 @@ def task_scenes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_task").select(F.col("task_no").alias("no"), scene.alias("text"))
 
 
-@register("p5_found")
+@register("p5_found", sql.P5)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Tasks whose scenes differ only by small edits, by group."""
     return near_duplicate_groups(task_scenes(spark, d)).select(F.col("no").alias("task_no"), "group_no")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.neardup import distinct_sets
 from quillmill.llm.prompts import WordHashes, jaccard, question_of, run_hashes, scene_of, shingles, words
+from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, slot, slots_for
 from quillmill.llm.splits import dataset_name
@@ -183,7 +184,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_task").select(F.col("task_no").alias("no"), "split", F.concat_ws(" ", scene_of(m), question_of(m)).alias("text"))
 
 
-@register("p2_found")
+@register("p2_found", sql.P2)
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a train task and a val or test task with the same or nearly the same scene and question."""
     p = cross_split_pairs(_records(spark, d))

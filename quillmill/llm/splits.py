@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.components import connected_components
+from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
@@ -132,7 +133,7 @@ def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return member, named.join(first_seed, "domain").groupBy("root").agg(F.min("seed_no").alias("group_no"))
 
 
-@register("p6_found")
+@register("p6_found", sql.P6)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Group of every task that is related to a known domain."""
     member, number = _groups(spark, d)
