@@ -30,6 +30,8 @@ from quillmill.session import materialize, table
 RUN = 12
 #: Anchors in every run, and items sent to the executors at once.
 ANCHORS, BLOCK = 2, 20_000
+#: Anchors in every run for proximity matches, where each may be missing.
+NEAR_ANCHORS = 4
 
 
 def item_blocks(items: DataFrame, block: int = BLOCK) -> Iterator[list[tuple[int, list[str]]]]:
@@ -143,7 +145,7 @@ def near_passages(docs: DataFrame, items: DataFrame, share: float = 0.5, slack:
         if not some:
             continue
         df = document_frequencies(docs, frozenset(w for _, p in some for w in p))
-        anchors = [(p[i], item, i) for item, p in some for i in anchor_positions(p, df)]
+        anchors = [(p[i], item, i) for item, p in some for i in anchor_positions(p, df, anchors=NEAR_ANCHORS)]
         n = Counter(a[1] for a in anchors)
         sizes = docs.sparkSession.createDataFrame(list(n.items()), "item_id long, anchors int")
         cell = F.floor((F.col("place") - F.col("at")) / slack)
