@@ -51,7 +51,7 @@ SPARE_UNITS = 6
 DEAR = 300
 #: Sets whose asks form a block (about 500 bytes each in a worker), its slots, sets looked up at
 #: once, and meetings sorted at once.
-BLOCK_SETS, BLOCK_SLOTS, SCAN_SETS, MEETINGS = 60_000, 1 << 22, 40_000, 4_000_000
+BLOCK_SETS, BLOCK_SLOTS, SCAN_SETS, MEETINGS = 60_000, 1 << 22, 30_000, 1_000_000
 
 
 def segment_bits(size: np.ndarray) -> np.ndarray:
@@ -145,12 +145,14 @@ class Block:
         at = slot(np.concatenate(keys) if keys else np.zeros(0, np.uint64), BLOCK_SLOTS)
         order = np.argsort(at, kind="stable")
         self.asks = of[order].astype(np.int64)
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(at, minlength=BLOCK_SLOTS))))
+        self.start = np.zeros(BLOCK_SLOTS + 1, np.int32)
+        np.cumsum(np.bincount(at, minlength=BLOCK_SLOTS), out=self.start[1:])
 
     def meetings(self, row: np.ndarray, at: np.ndarray, no: np.ndarray, size: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(number of the smaller set, of the larger) that meet often enough; ``row`` and ``at``
         are the rows and slots of the keys the larger sets hold, ordered by row."""
-        first, count = self.start[at], self.start[at + 1] - self.start[at]
+        first = self.start[at].astype(np.int64)
+        count = self.start[at + 1] - first
         hit = count > 0
         row, first, count = row[hit], first[hit], count[hit]
         total = np.cumsum(count)

@@ -30,9 +30,9 @@ from quillmill.llm.splits import dataset_name
 from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
 
-#: Evaluation words in one shard (its automaton takes about 100 bytes a word), and patterns a
+#: Evaluation words in one shard (its automaton takes about 70 bytes a word), and patterns a
 #: record has beyond the least number.
-SHARD_WORDS, SPARE_PATTERNS = 1_200_000, 3
+SHARD_WORDS, SPARE_PATTERNS = 2_500_000, 3
 
 
 def _patterns(batches: Iterator[pd.DataFrame], sketch: np.ndarray, t: Fraction) -> Iterator[pd.DataFrame]:
@@ -73,10 +73,11 @@ class Shard:
             pattern += [of.setdefault(p, len(of)) for p in ps]
             record += [e] * len(ps)
             place.append(np.frombuffer(at, np.int32))
-        order = np.argsort(np.array(pattern, np.int64), kind="stable")
-        cuts = np.cumsum(np.bincount(np.array(pattern, np.int64), minlength=len(of)))[:-1] if of else []
-        self.records = np.split(np.array(record, np.int64)[order], cuts) if of else []
-        self.places = np.split(np.concatenate(place)[order], cuts) if of else []
+        ids = np.array(pattern, np.int64)
+        order = np.argsort(ids, kind="stable")
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(ids, minlength=len(of)))))
+        self.record = np.array(record, np.int32)[order]
+        self.place = (np.concatenate(place) if place else np.zeros(0, np.int32))[order]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for p, n in of.items():
             self.automaton.add_word(p, n)
@@ -86,21 +87,21 @@ class Shard:
 
     def partners(self, text: str, size: int) -> list[tuple[int, int]]:
         """(evaluation number, covered words) of the records a normalised text may be similar to."""
-        if not self.records:
+        if not len(self.record):
             return []
-        found = list({n for _, n in self.automaton.iter(text)})
-        if not found:
+        found = np.fromiter({n for _, n in self.automaton.iter(text)}, np.int64)
+        if not len(found):
             return []
-        hits = np.bincount(np.concatenate([self.records[n] for n in found]), minlength=len(self.size))
-        some = np.flatnonzero((hits > 0) & (hits >= self.least))
+        first, count = self.start[found], self.start[found + 1] - self.start[found]
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        met = self.record[at]
+        some, hits = np.unique(met, return_counts=True)
+        enough = hits >= self.least[some]
+        some, hits = some[enough], hits[enough]
         a, num, den = self.size[some], self.t.numerator, self.t.denominator
         shared = -(-num * (a + size) // (num + den))
-        ok = (hits[some] >= self.asked[some] - (a - shared)) & (a * num <= size * den) & (size * num <= a * den)
-        out = []
-        for e in some[ok]:
-            places = np.concatenate([self.places[n][self.records[n] == e] for n in found])
-            out.append((int(self.numbers[e]), merged(places.tolist())))
-        return out
+        ok = (hits >= self.asked[some] - (a - shared)) & (a * num <= size * den) & (size * num <= a * den)
+        return [(int(self.numbers[e]), merged(self.place[at[met == e]].tolist())) for e in some[ok]]
 
 
 _BUILT: dict[str, Shard] = {}

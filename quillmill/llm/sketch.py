@@ -44,7 +44,8 @@ def count_sketch(sets: DataFrame, slots: int, keys_of: Callable[[np.ndarray, np.
         for pdf in batches:
             for _, row, h, size in set_batches(pdf, hashes, k):
                 for x in keys_of(row, h, size):
-                    total += np.bincount(slot(x, slots), minlength=slots).astype(np.uint32)
+                    at, n = np.unique(slot(x, slots), return_counts=True)
+                    total[at] += n.astype(np.uint32)
         pack = zstandard.ZstdCompressor(level=1).compress
         yield pd.DataFrame({"slice": range(SLICES), "counts": [pack(x.tobytes()) for x in np.split(total, SLICES)]})
 
