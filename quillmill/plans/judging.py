@@ -99,3 +99,21 @@ def audit_logged(spark: SparkSession, d: str) -> DataFrame:
     """Log margin of every audit that recorded both sides."""
     y, n = F.col("log_p_yes"), F.col("log_p_no")
     return v.audits(spark, d).where("log_p_yes is not null and log_p_no is not null and not isnan(log_p_yes) and not isnan(log_p_no)").select("audit_no", F.round(y - n, 6).alias("margin"))
+
+
+@register("continuation_mass", f"""with {JUDGE}, x as (select judge_no, yes_logprob - v * 0.5 as y, no_logprob - v * 0.25 as n from judge, (select unnest([0, 1, 2, 3]) as v))
+select judge_no, round(coalesce(sum(exp(y)), 0), 9) as p_yes, round(coalesce(sum(exp(n)), 0), 9) as p_no from x group by 1""")
+def continuation_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Every prompt with eight continuations, scored and summed per class again."""
+    rows = v.judges(spark, d).select("judge_no", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"), "yes_logprob", "no_logprob")
+    scored = rows.select("judge_no", F.explode(F.create_map(F.lit("p_yes"), F.col("yes_logprob") - F.col("v") * 0.5, F.lit("p_no"), F.col("no_logprob") - F.col("v") * 0.25)).alias("class", "lp"))
+    wide = scored.groupBy("judge_no").pivot("class", ["p_yes", "p_no"]).agg(F.sum(F.exp("lp")))
+    return wide.select("judge_no", *[v.r9(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("p_yes", "p_no")])
+
+
+@register("loose_judge", f"with {JUDGE} select judge_no, coalesce(lower(trim(judgment)) in ('yes', 'pass', 'correct', 'true', '1'), false) as passed from judge")
+def loose_judge(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements that mean a pass in any wording."""
+    from quillmill.functions.models import loose_pass
+
+    return v.judges(spark, d).select("judge_no", loose_pass(F.col("judgment")).alias("passed"))
