@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,24 +85,36 @@ def round_robin(df: DataFrame, group: str, key: str, seed: int) -> DataFrame:
 
 def interleave(df: DataFrame, group: str, key: str, seed: int, exhaust_all: bool = True) -> DataFrame:
     """``df`` drawn from its groups with equal chances until all groups are exhausted (short ones
-    start over, so rows repeat) or the first one is; column ``place`` is the order of drawing.
+    start over, so rows repeat) or the first one is; column ``place`` counts the draws from 0.
 
-    The draw itself is sequential: the driver plays it over the group sizes (a few numbers), and
-    the plan is joined back to the rows.
+    The group of a draw is a seeded hash of its place, so draws are made in parallel; where the
+    last group is exhausted is found from distributed ranks. The driver holds a row per group.
     """
-    ranked = materialize(global_rank(df, [F.col(group).asc(), F.col(key).asc()], "_k"), "interleave")
-    first = {r[0]: (r[1], r[2]) for r in ranked.groupBy(group).agg(F.min("_k"), F.count(F.lit(1))).collect()}
-    names = sorted(first)
-    rnd, taken, plan = random.Random(seed), {g: 0 for g in names}, []
-    while names:
-        g = names[rnd.randrange(len(names))]
-        plan.append((len(plan), first[g][0] + taken[g] % first[g][1]))
-        taken[g] += 1
-        full = [taken[x] >= first[x][1] for x in names]
-        if all(full) if exhaust_all else any(full):
-            break
     spark = df.sparkSession
-    return spark.createDataFrame(plan or [(0, -1)], "place long, _k long").join(ranked, "_k").drop("_k")
+    ranked = materialize(_within(df, group, key, "_i"), "interleave")
+    sizes = {r[0]: r[1] for r in ranked.groupBy(group).agg(F.count(F.lit(1))).collect()}
+    names = sorted(sizes)
+    if not names:
+        return df.withColumn("place", F.lit(0).cast("long"))
+    numbered = spark.createDataFrame([(g, i, sizes[g]) for i, g in enumerate(names)], f"`{group}` {dict(df.dtypes)[group]}, _g long, _n long")
+    draws = 64 + int(1.2 * len(names) * max(sizes.values()))
+    while True:
+        drawn = spark.range(draws).select(F.col("id").alias("place"), F.pmod(stable_u32(seed, F.col("id")), F.lit(len(names))).cast("long").alias("_g"))
+        turns = materialize(_within(drawn, "_g", "place", "_t").join(F.broadcast(numbered), "_g"), "draws")
+        ends = [r[0] for r in turns.where("_t = _n - 1").select("place").collect()]  # one per group
+        if len(ends) == len(names) or ends and not exhaust_all:
+            break
+        draws *= 2
+    stop = max(ends) if exhaust_all else min(ends)
+    taken = turns.where(F.col("place") <= stop).withColumn("_i", F.col("_t") % F.col("_n")).select(group, "_i", "place")
+    return taken.join(ranked, [group, "_i"]).drop("_i")
+
+
+def _within(df: DataFrame, group: str, key: str, name: str) -> DataFrame:
+    """``df`` with the 0-based place of each row within its group by key, from one distributed sort."""
+    ranked = global_rank(df, [F.col(group).asc(), F.col(key).asc()], "_k")
+    first = ranked.groupBy(F.col(group).alias("_f")).agg(F.min("_k").alias("_first"))
+    return ranked.join(first, F.col(group).eqNullSafe(F.col("_f"))).withColumn(name, F.col("_k") - F.col("_first")).drop("_k", "_first", "_f")
 
 
 def unique_key(*parts: Column) -> Column:

@@ -61,13 +61,20 @@ def round_robin(spark: SparkSession, d: str) -> DataFrame:
     return splits.round_robin(_tasks(spark, d), "section", "task_no", 2)
 
 
-@register("interleave_oversample")
+_DRAWS = f"""with n as (select phenomenon, row_number() over (order by phenomenon) - 1 as g, count(*) as n from bench_item group by 1),
+ i as (select phenomenon, item_id, row_number() over (partition by phenomenon order by item_id) - 1 as i from bench_item),
+ d as (select place, {u32_sql(7, 'place')} % (select count(*) from n) as g from range(20000) t(place)),
+ t as (select place, phenomenon, n, row_number() over (partition by d.g order by place) - 1 as t from d join n on n.g = d.g),
+ e as (select {{stop}}(place) as stop from t where t = n - 1) select place, t.phenomenon, item_id from t, e, i where place <= stop and i.phenomenon = t.phenomenon and i.i = t % n"""
+
+
+@register("interleave_oversample", _DRAWS.format(stop="max"))
 def interleave_oversample(spark: SparkSession, d: str) -> DataFrame:
     """Items drawn with equal chances per phenomenon until all phenomena are exhausted."""
     return splits.interleave(table(spark, d, "bench_item").select("phenomenon", "item_id"), "phenomenon", "item_id", 7)
 
 
-@register("interleave_first")
+@register("interleave_first", _DRAWS.format(stop="min"))
 def interleave_first(spark: SparkSession, d: str) -> DataFrame:
     """The same until the first phenomenon is exhausted."""
     return splits.interleave(table(spark, d, "bench_item").select("phenomenon", "item_id"), "phenomenon", "item_id", 7, exhaust_all=False)
