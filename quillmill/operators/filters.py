@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.functions.scores import HIGHER_IS_BETTER
@@ -69,12 +69,12 @@ def outcome_reason(yes: Column, total: Column) -> Column:
 
 def early_stop(rollouts: DataFrame, row: str, place: str, ok: str, chunk: int, mixed: bool) -> DataFrame:
     """(row, n_yes, n_judged): counts as of the chunk at which judging stops: the first with both
-    outcomes seen (``mixed``), or with any failure in the chunk; else the last."""
+    outcomes seen (``mixed``), or with any failure in the chunk; else the last. Made of partial
+    aggregates, so a prompt with a tenth of all rollouts needs no task of its own."""
     c = F.floor(F.col(place) / chunk)
     by = rollouts.groupBy(row, c.alias("chunk")).agg(F.count_if(F.col(ok)).alias("y"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(row).orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumns({"ys": F.sum("y").over(w), "ns": F.sum("n").over(w)})
-    stop = ((F.col("ys") > 0) & (F.col("ns") > F.col("ys"))) if mixed else (F.col("y") < F.col("n"))
-    at = F.struct((~stop).alias("later"), F.when(stop, F.col("chunk")).otherwise(-F.col("chunk")).alias("k"), "ys", "ns")
-    best = run.groupBy(row).agg(F.min(at).alias("b"))
-    return best.select(row, F.col("b.ys").alias("n_yes"), F.col("b.ns").alias("n_judged"))
+    passed, failed = F.min(F.when(F.col("y") > 0, F.col("chunk"))), F.min(F.when(F.col("y") < F.col("n"), F.col("chunk")))
+    both = F.when(passed.isNotNull() & failed.isNotNull(), F.greatest(passed, failed))
+    stop = by.groupBy(F.col(row).alias("_row")).agg(F.coalesce(both if mixed else failed, F.max("chunk")).alias("_stop"))
+    seen = by.join(stop, F.col(row).eqNullSafe(F.col("_row"))).where(F.col("chunk") <= F.col("_stop"))
+    return seen.groupBy(row).agg(F.sum("y").alias("n_yes"), F.sum("n").alias("n_judged"))
