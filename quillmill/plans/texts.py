@@ -80,9 +80,12 @@ _query("truncate_marker", f"case when length({strip_sql('t')}) > 200 then rtrim(
 _query("token_count_ws", f"case when {strip_sql('t')} = '' then 0 else len(regexp_split_to_array({strip_sql('t')}, '\\s+'))::int end", text.token_count_ws, "Number of words.")
 _query("safe_name", f"coalesce(nullif(trim(regexp_replace({strip_sql('t')}, '[^A-Za-z0-9._-]+', '_', 'g'), '._'), ''), 'model')", text.safe_name, "Text as a file name.")
 _query("explanation_text", f"case when contains(t, '</think>') and length({strip_sql('''regexp_replace(regexp_replace(t, '(?s)^.*</think>', ''), '(?s)\\\\boxed\\{.*$', '')''')}) > 10 then {strip_sql('''regexp_replace(regexp_replace(t, '(?s)^.*</think>', ''), '(?s)\\\\boxed\\{.*$', '')''')} else '' end", text.explanation_text, "Explanation between thinking and box.")
-_query("boxed_last", None, answers.boxed_last, "Last box after the thinking, braces balanced.")
+_TAIL = f"string_split({_EXACT}, '\\boxed{{')[-1]"
+_BODY = "case when regexp_matches(t, '(?i)</think>') then regexp_replace(t, '(?is)^.*?</think>', '') else t end"
+_BARE = f"(case when regexp_matches({strip_sql(_BODY)}, '{_FENCE}') then {strip_sql(f"regexp_extract({strip_sql(_BODY)}, '{_FENCE}', 1)")} else {strip_sql(_BODY)} end)"
+_query("boxed_last", f"case when contains({_EXACT}, '\\boxed{{') then nullif({strip_sql(f"regexp_extract({_TAIL}, '(?s)^([^{{}}]*)\\}}', 1)")}, '') end", answers.boxed_last, "Last box after the thinking, braces balanced.")
 _query("boxed_first", None, boxed_first, "First box that closes, braces balanced.")
-_query("open_answer", None, answers.open_answer, "Open answer after the first </think>.")
+_query("open_answer", f"case when not regexp_matches(t, '(?i)</think>') and contains(lower(t), '<think>') then null else nullif(case when regexp_matches({_BARE}, '(?s)\\\\boxed\\{{(.*?)\\}}') then {strip_sql(f"regexp_extract({_BARE}, '(?s)\\\\boxed\\{{(.*?)\\}}', 1)")} else {_BARE} end, '') end", answers.open_answer, "Open answer after the first </think>.")
 _query("json_loose", None, json_text, "JSON value in a text, by a ladder of attempts.")
 _query("json_last_span", None, last_json_span, "Last JSON span of a text.")
 
