@@ -24,6 +24,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -259,8 +260,9 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, blo
     candidates = materialize(sets.select("no", "text").repartition(tasks).mapInPandas(scan, "a long, b long"), "candidates")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = lru_cache(1000)(lambda x: shingles(x, k))  # rows come ordered by b
         for pdf in batches:
-            ok = [jaccard(shingles(x, k), shingles(y, k)) >= t for x, y in zip(pdf["ta"], pdf["tb"])]
+            ok = [jaccard(cut(x), cut(y)) >= t for x, y in zip(pdf["ta"], pdf["tb"])]
             yield pd.DataFrame({"a": pdf[["a", "b"]].min(axis=1)[ok], "b": pdf[["a", "b"]].max(axis=1)[ok]})
 
     texts = sets.select("no", "text")

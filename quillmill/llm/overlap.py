@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -153,8 +154,9 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
         return spark.createDataFrame([], "train long, eval long, similarity double, covered int")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = lru_cache(1000)(shingles)  # rows come ordered by eval
         for pdf in batches:
-            sim = [jaccard(shingles(x), shingles(y)) for x, y in zip(pdf["ta"], pdf["tb"])]
+            sim = [jaccard(cut(x), cut(y)) for x, y in zip(pdf["ta"], pdf["tb"])]
             pdf = pdf.assign(similarity=sim)
             yield pdf[pdf["similarity"] >= float(t)][["train", "eval", "similarity", "covered"]]
 
