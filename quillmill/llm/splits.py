@@ -68,6 +68,7 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
     """
     if not shares or min(shares.values()) < 0 or sum(shares.values()) <= 0:
         raise ValueError("shares must be weights of at least 0, not all 0")
+    groups = groups.select("root", "n")
     hist = groups.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()  # at most sqrt(2 * records) rows
     runs = place_runs([(int(h["n"]), int(h["c"])) for h in hist], shares)
     spark = groups.sparkSession

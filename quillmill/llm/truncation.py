@@ -95,9 +95,10 @@ def truncated_records(records: DataFrame) -> DataFrame:
     encoding and length of the limit they sit at (null if they were cut elsewhere).
 
     Null, empty and blank texts are no cases. Repeated rows stay repeated. A null source is a
-    source of its own. Further columns are kept unless they are called encoding, limit_length,
-    or start with an underscore.
+    source of its own. Further columns are kept, but for those called encoding, limit_length, _end,
+    _hit, _limits or _source, which are dropped.
     """
+    records = records.drop("encoding", "limit_length", "_end", "_hit", "_limits", "_source")
     limits = hidden_limits(records.select("source", "text"))
     by_source = limits.groupBy(F.col("source").alias("_source")).agg(F.collect_list(F.struct("encoding", "length")).alias("_limits"))  # a few per source
     sized = records.withColumn("_end", ending(F.col("text"))).where(F.col("_end").isin("cut", "unclear"))
