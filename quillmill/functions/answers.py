@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import SPACE_CLASS, code_fence, strip_think_exact, strip_think_last, text_or_empty, ustrip
+from quillmill.functions.text import code_fence, strip_think_exact, strip_think_last, text_or_empty, ustrip
+
+#: Patterns of answers, in the order they are tried.
+BOXED_INT = [r"(?i)\\boxed\{\s*(\d+)(?:\s*[).][^}]*)?\s*\}", r"(?i)Answer:\s*(\d+)"]
+BOXED_1TO4 = [r"\\boxed\{\s*([1-4])\s*\}", r"\b([1-4])\b"]
+OPTION = [r"\b([1-5])\b"]
+YES_NO = r"(?i)\b(yes|no)\b"
+BOX_GREEDY, BOX_SHORT, BOX_PLAIN = r"(?s)\\boxed\{(.+)\}", r"(?s)\\boxed\{(.*?)\}", r"(?is)\\boxed\s*\{([^{}]*)\}"
+FLOUTS, FLOUTS_NONE = r"(?i)flouts the maxim of\s+(relation|quality|quantity|manner)", "(?i)does not flout any maxim"
+LABELLED = {
+    "content": r"(?is)\bcontent\s*:\s*(.+?)\s*(?=\n\s*question\s*:)",
+    "question": r"(?is)\bquestion\s*:\s*(.+?)\s*(?=\n\s*answer\s*:)",
+    "answer": r"(?is)\banswer\s*:\s*(.+?)\s*$",
+}
 
 
 def _first(c: Column, patterns: list[str]) -> Column:
@@ -38,8 +51,7 @@ def boxed_last(c: Column) -> Column:
 def boxed_greedy(c: Column) -> Column:
     """From the first box to the last brace, after the thinking; without a box the whole text."""
     t = strip_think_last(c)
-    pattern = r"(?s)\\boxed\{(.+)\}"
-    return F.when(t.rlike(pattern), ustrip(F.regexp_extract(t, pattern, 1))).otherwise(t)
+    return F.when(t.rlike(BOX_GREEDY), ustrip(F.regexp_extract(t, BOX_GREEDY, 1))).otherwise(t)
 
 
 def open_answer(c: Column) -> Column:
@@ -47,32 +59,29 @@ def open_answer(c: Column) -> Column:
     has_end = c.rlike("(?i)</think>")
     after = F.when(has_end, F.regexp_replace(c, r"(?is)^.*?</think>", "")).otherwise(c)
     raw = code_fence(after)
-    box = r"(?s)\\boxed\{(.*?)\}"
-    out = F.when(raw.rlike(box), ustrip(F.regexp_extract(raw, box, 1))).otherwise(raw)
+    out = F.when(raw.rlike(BOX_SHORT), ustrip(F.regexp_extract(raw, BOX_SHORT, 1))).otherwise(raw)
     return F.when(~has_end & F.lower(c).contains("<think>"), F.lit(None).cast("string")).otherwise(F.nullif(out, F.lit("")))
 
 
 def boxed_int(c: Column) -> Column:
     """Whole number in a box, else after ``Answer:``."""
-    patterns = [r"(?i)\\boxed\{\s*(\d+)(?:\s*[).][^}]*)?\s*\}", r"(?i)Answer:\s*(\d+)"]
-    return _first(c, patterns).try_cast("long")
+    return _first(c, BOXED_INT).try_cast("long")
 
 
 def boxed_1to4(c: Column) -> Column:
     """Option 1 to 4 in a box, else the first bare one anywhere."""
-    return _first(c, [r"\\boxed\{\s*([1-4])\s*\}", r"\b([1-4])\b"]).cast("int")
+    return _first(c, BOXED_1TO4).cast("int")
 
 
 def option_digit(c: Column) -> Column:
     """First bare option 1 to 5; null for anything else."""
-    return _first(c, [r"\b([1-5])\b"]).cast("int")
+    return _first(c, OPTION).cast("int")
 
 
 def yes_no(c: Column, boxed: Column | None = None) -> Column:
     """Yes or no in the box, else anywhere, as a whole word."""
-    p = r"(?i)\b(yes|no)\b"
-    inside = boxed if boxed is not None else _first(c, [r"(?is)\\boxed\s*\{([^{}]*)\}"])
-    return F.lower(F.coalesce(_first(inside, [p]), _first(c, [p])))
+    inside = boxed if boxed is not None else _first(c, [BOX_PLAIN])
+    return F.lower(F.coalesce(_first(inside, [YES_NO]), _first(c, [YES_NO])))
 
 
 def verdict(c: Column) -> Column:
@@ -84,10 +93,9 @@ def verdict(c: Column) -> Column:
 def maxim_extract(c: Column) -> Column:
     """Conversation maxim a text says is flouted; 'None' if it says that none is."""
     s = text_or_empty(c)
-    p = r"(?i)flouts the maxim of\s+(relation|quality|quantity|manner)"
-    m = F.regexp_extract(s, p, 1)
+    m = F.regexp_extract(s, FLOUTS, 1)
     cap = F.concat(F.upper(F.substr(m, F.lit(1), F.lit(1))), F.lower(F.substr(m, F.lit(2))))
-    return F.when(s.rlike("(?i)does not flout any maxim"), F.lit("None")).when(s.rlike(p), cap)
+    return F.when(s.rlike(FLOUTS_NONE), F.lit("None")).when(s.rlike(FLOUTS), cap)
 
 
 def label_normalize(c: Column) -> Column:
@@ -103,13 +111,8 @@ def option_index(options: Column, gold: Column, norm) -> Column:
 
 def labelled_qa(c: Column) -> Column:
     """Content, question and answer of labelled plain text; null unless all three are there."""
-    q = r"(?is)\bcontent\s*:\s*(.+?)\s*(?=\n\s*question\s*:)"
-    a = r"(?is)\bquestion\s*:\s*(.+?)\s*(?=\n\s*answer\s*:)"
-    e = r"(?is)\banswer\s*:\s*(.+?)\s*$"
-    got = F.struct(
-        ustrip(F.regexp_extract(c, q, 1)).alias("content"), ustrip(F.regexp_extract(c, a, 1)).alias("question"), ustrip(F.regexp_extract(c, e, 1)).alias("answer")
-    )
-    return F.when(c.rlike(q) & c.rlike(a) & c.rlike(e), got)
+    got = F.struct(*[ustrip(F.regexp_extract(c, p, 1)).alias(n) for n, p in LABELLED.items()])
+    return F.when(c.rlike(LABELLED["content"]) & c.rlike(LABELLED["question"]) & c.rlike(LABELLED["answer"]), got)
 
 
 def format_reward(c: Column) -> Column:
@@ -120,6 +123,3 @@ def format_reward(c: Column) -> Column:
     reasoning = F.when(before.contains("<think>"), ustrip(F.substring_index(before, "<think>", -1))).otherwise(F.lit(""))
     whole = (opens == 1) & (closes == 1) & (reasoning != "") & boxed_last(F.substring_index(c, "</think>", -1)).isNotNull()
     return F.when((opens == 0) | (closes == 0), 0.0).when(whole, 1.0).otherwise(0.5)
-
-
-SPACE = SPACE_CLASS

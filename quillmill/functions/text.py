@@ -14,6 +14,9 @@ SPACE_CLASS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}
 #: Tags around a model's thinking.
 OPEN_TAGS = ["<think>", "[THINK]", "[think]", "<|channel>thought"]
 CLOSE_TAGS = ["</think>", "[/THINK]", "[/think]", "<channel|>"]
+#: A code fence, and the mark of a text cut short.
+FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
+CUT_MARK = "\n...[truncated]"
 CLOSE_PATTERN = r"(?i)</think>|\[/think\]|<channel\|>"
 
 
@@ -115,11 +118,10 @@ def explanation_text(c: Column, least: int = 10) -> Column:
 def code_fence(c: Column) -> Column:
     """Inside of the first code fence, else the text; stripped."""
     s = ustrip(c)
-    pattern = r"```(?:json)?\s*([\s\S]*?)\s*```"
-    return F.when(s.rlike(pattern), ustrip(F.regexp_extract(s, pattern, 1))).otherwise(s)
+    return F.when(s.rlike(FENCE), ustrip(F.regexp_extract(s, FENCE, 1))).otherwise(s)
 
 
-def truncate_marker(c: Column, most: int, mark: str = "\n...[truncated]") -> Column:
+def truncate_marker(c: Column, most: int, mark: str = CUT_MARK) -> Column:
     """Stripped text, cut to ``most`` - 32 characters plus a mark where it is longer."""
     s = text_or_empty(c)
     return F.when(F.length(s) > most, F.concat(F.rtrim(F.substr(s, F.lit(1), F.lit(most - 32)), F.lit(SPACES)), F.lit(mark))).otherwise(s)
