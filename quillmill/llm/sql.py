@@ -50,3 +50,23 @@ dd as (select dom as a, dom as b from t where dom is not null union select a, b
 g as (select a as dom, min(seed_no) as group_no from dd join seed on seed.dom = dd.b group by 1),
 q as (select task_no, coalesce(t.dom, pd.dom) as dom from t left join (select pas, min(dom) as dom from pd group by 1) pd using (pas))
 select task_no, min(group_no) as group_no from q join g using (dom) group by 1"""
+
+
+def _minus(c: str) -> str:
+    return f"(length(text) - length(replace(text, {c}, '')))"
+
+
+_ENCODINGS = {
+    "chars": "length(text)",
+    "utf8": "strlen(text)",
+    "utf16": r"length(text) + length(regexp_replace(text, '[\x{0}-\x{ffff}]', '', 'g'))",
+    "entities": "length(text) + 4 * {} + 3 * ({} + {}) + 5 * ({} + {})".format(*[_minus(f"chr({n})") for n in (38, 60, 62, 34, 39)]),
+    "json": "length(text) + {} + {} + {} + {} + {}".format(*[_minus(f"chr({n})") for n in (34, 10, 92, 9, 13)]),
+    "crlf": f"length(text) + {_minus('chr(10)')}",
+}
+
+P3_LIMITS = f"""with x as (select backend as source, raw_output as text from audit_result where raw_output <> '' union all select backend, raw_output from judge_result where raw_output <> ''),
+m as ({' union all '.join(f"select source, '{k}' as encoding, ({v})::int as length from x" for k, v in _ENCODINGS.items())}),
+c as (select source, encoding, length, count(*) as n from m group by all),
+e as (select *, (sum(n) over (partition by source, encoding order by length range between 20 preceding and 20 following) - n) / 40.0::double as expected from c)
+select source, encoding, length, n, expected from e where n > expected + 6.0 * sqrt(expected) + 6"""

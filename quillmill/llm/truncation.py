@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.session import materialize, table
 
@@ -138,7 +139,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return j.select(F.col("source").alias("backend"), "n", F.coalesce("cut", F.lit(0)).alias("cut"), (F.coalesce("cut", F.lit(0)) / F.col("n")).alias("cut_rate"))
 
 
-@register("p3_limits")
+@register("p3_limits", sql.P3_LIMITS)
 def p3_limits(spark: SparkSession, d: str) -> DataFrame:
     """Hidden storage limits by backend and encoding."""
     return materialize(hidden_limits(_outputs(spark, d)), "limits")
