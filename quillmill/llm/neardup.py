@@ -319,7 +319,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_groups(task_scenes(spark, d)).select(F.col("no").alias("task_no"), "group_no")
 
 
-@register("p5_sizes")
+@register("p5_sizes", sql.P5_SIZES)
 def p5_sizes(spark: SparkSession, d: str) -> DataFrame:
     """How many groups of each size there are."""
     g = near_duplicate_groups(task_scenes(spark, d)).groupBy("group_no").agg(F.count(F.lit(1)).alias("tasks"))

@@ -194,7 +194,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.least("train_no", "eval_no").alias("task_no_a"), F.greatest("train_no", "eval_no").alias("task_no_b"))
 
 
-@register("p2_overlap")
+@register("p2_overlap", sql.P2_OVERLAP)
 def p2_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps per evaluation split and source dataset: records, records with a partner, pairs."""
     tasks = table(spark, d, "sft_task").where("split in ('val', 'test')").groupBy("task_no").agg(F.min("split").alias("split"), F.min(dataset_name(F.col("source_dataset"))).alias("source_dataset"))

@@ -13,11 +13,18 @@ _SHINGLES = """w as (select no, side, {words} as w from x where {text} is not nu
 s as (select distinct no, side, unnest(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: w[i:i+2])) as g from w where len(w) > 2),
 n as (select no, side, count(*) as n from s group by all)"""
 
-P2 = (
+_P2 = (
     f"with {_TASKS}, x as (select task_no as no, case when split = 'train' then 't' else 'e' end as side, {_SCENE.format(u='su')} || ' ' || {_QUESTION.format(u='su')} as text from t where split in ('train', 'val', 'test')), "
     + _SHINGLES.format(words=_WORDS.format(x="text"), text="text")
-    + """, p as (select a.no as a, b.no as b, count(*) as k from s a join s b on a.g = b.g and a.side = 't' and b.side = 'e' group by 1, 2)
-select least(a, b) as task_no_a, greatest(a, b) as task_no_b from p join n na on na.no = a join n nb on nb.no = b where k * 2 >= na.n + nb.n - k"""
+    + """, p as (select a.no as a, b.no as b, count(*) as k from s a join s b on a.g = b.g and a.side = 't' and b.side = 'e' group by 1, 2),
+q as (select a, b from p join n na on na.no = a join n nb on nb.no = b where k * 2 >= na.n + nb.n - k)"""
+)
+P2 = _P2 + " select least(a, b) as task_no_a, greatest(a, b) as task_no_b from q"
+P2_OVERLAP = (
+    _P2
+    + r""", k as (select task_no, min(split) as split, min(regexp_replace(replace(lower(trim(source_dataset)), '-', '_'), '\.jsonl$', '')) as source_dataset from sft_task where split in ('val', 'test') group by 1),
+f as (select b as task_no, count(*) as pairs from q group by 1)
+select split, source_dataset, count(*) as records, count(pairs) as overlapping, coalesce(sum(pairs), 0)::bigint as pairs from k left join f using (task_no) group by 1, 2"""
 )
 
 P5 = (
@@ -28,6 +35,7 @@ e as (select a, b from p join n na on na.no = a join n nb on nb.no = b where k *
 r as (select a, b from e union select r.a, e.b from r join e on e.a = r.b)
 select a as task_no, least(a, min(b)) as group_no from r group by a"""
 )
+P5_SIZES = f"select tasks, count(*) as groups from (select count(*) as tasks from ({P5}) group by group_no) group by 1"
 
 P8 = f"""with d as (select doc_id, {_WORDS.format(x='text')} as w from documents where text is not null),
 i as (select item_id, {_WORDS.format(x='passage')} as w from bench_item where passage is not null),
