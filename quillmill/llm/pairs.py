@@ -4,7 +4,8 @@ A response is aligned with its prompt by the containment of word shingles and th
 subsequence with the question (copies), and with refusal templates by shingle containment
 (refusals). Its language is compared with the prompt's by a letter-trigram model fitted on a
 bounded, labelled sample of `documents`. Whether an unpunctuated end is a complete phrase or a
-cut is told by corpus statistics over all responses: how often its last words end a sentence.
+cut is told by corpus statistics over all responses, each counted once: how often its last words
+end a sentence, and whether longer words continue a last word that nobody else uses.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from quillmill.session import materialize, table
 FIT_DOCS, FIT_CHARS = 300, 2000
 #: Least support and largest share of sentence ends at which the last words count as unfinished.
 LEAST_SUPPORT, END_SHARE = 20, {"1": 0.015, "2": 0.015, "4": 0.004}
+#: A word is unused if its uses are at most this share of its loose ends (nothing follows, no stop).
+USED_SHARE = 0.05
 
 #: Refusals, each the part that declines.
 REFUSALS = [
@@ -225,7 +228,11 @@ def _end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         for a in pdf["answer"]:
-            t = _tokens(unboxed(a)[0])
+            s, is_open = unboxed(a)
+            t, kept = _tokens(s), _MARK.sub("", s).rstrip()
+            head = _tokens(kept)
+            final = max((i for i, x in enumerate(head) if x[0].isalnum()), default=-1)
+            closed = not is_open and bool(_WHOLE.search(kept))
             for i, x in enumerate(t):
                 if not x[0].isalnum():
                     continue
@@ -233,7 +240,7 @@ def _end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for k in contexts(t, i):
                     total[k] += 1
                     ends[k] += last or t[i + 1] in ".!?"
-                    follows[k] += not last
+                    follows[k] += i < final or (i == final and closed)
         if len(total) > 500_000:
             yield out()
     yield out()
@@ -241,20 +248,48 @@ def _end_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def end_statistics(answers: DataFrame) -> DataFrame:
     """(context, n, ends, follows) over every position of every answer: how often the context
-    occurs, ends a sentence or the answer, and is followed by anything."""
+    occurs, ends a sentence or the answer, and is in use, that is followed by a word or at the end
+    of a closed answer (a cut mark follows nothing)."""
     return (
         answers.select("answer").where("answer is not null").mapInPandas(_end_counts, "context string, n long, ends long, follows long")
         .groupBy("context").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"), F.sum("follows").alias("follows"))
     )
 
 
+def word_fragments(tails: DataFrame, stats: DataFrame) -> DataFrame:
+    """(word, after) of the asked endings that are the beginning of a longer word.
+
+    ``tails`` has (word, after): a last word and its pair as contexts of order 1 and 2; ``stats``
+    are `end_statistics`. An ending is continued if words that begin with it stand after the same
+    word at least as often as it ends there loosely. A word nobody uses is a fragment where it is
+    continued, or if half of its endings are; a pair nobody uses is one if it is continued
+    `LEAST_SUPPORT` times as often. All are ratios of counts, so more rows change nothing.
+    """
+    tails = tails.where("word is not null and after is not null").select("word", "after").distinct()
+    pairs = stats.where(F.col("context").startswith("2\t"))
+    text = F.substring_index("context", " ", -1)
+    longer = (
+        pairs.where("follows > 0").where(F.length(text) > 1)
+        .select("follows", F.substring_index("context", " ", 1).alias("first"), text.alias("text"))
+        .select("follows", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.concat("first", F.lit(" "), F.col("text").substr(F.lit(1), i)))).alias("after"))
+        .join(tails.select("after").distinct(), "after", "left_semi").groupBy("after").agg(F.sum("follows").alias("longer"))
+    )
+    ending = pairs.select(F.col("context").alias("after"), (F.col("n") - F.col("follows")).alias("loose"), F.col("follows").alias("used"))
+    word = stats.where(F.col("context").startswith("1\t")).select(F.col("context").alias("word"), (F.col("follows") <= USED_SHARE * (F.col("n") - F.col("follows"))).alias("unused"))
+    asked = tails.join(ending, "after").join(longer, "after", "left").join(word, "word").withColumn("continued", F.coalesce(F.col("longer") >= F.col("loose"), F.lit(False)))
+    most = asked.groupBy("word").agg((F.avg(F.col("continued").cast("int")) >= 0.5).alias("mostly"))
+    alone = (F.col("used") <= USED_SHARE * F.col("loose")) & (F.coalesce("longer", F.lit(0)) >= LEAST_SUPPORT * F.col("loose"))
+    return asked.join(most, "word").where((F.col("unused") & (F.col("continued") | F.col("mostly"))) | alone).select("word", "after")
+
+
 def broken_pairs(pairs: DataFrame, prompts: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
     """(pair, defect) of each defective pair, at most one defect a pair.
 
     ``pairs`` has (pair: any type, prompt: bigint, answer: string), ``prompts`` (prompt, question,
     scene); ``sample`` is (language, text) the language model is fitted on. In this order a pair is
     empty (also a null answer), refusal, copy, truncated, language. A pair without its prompt is
-    judged by its answer alone. Repeated pairs repeat their defect; no pairs give no rows.
+    judged by its answer alone. Repeated pairs repeat their defect and count once in the statistics;
+    no pairs give no rows.
     """
     languages = pairs.sparkSession.sparkContext.broadcast(Languages(sample))
 
@@ -290,7 +325,7 @@ def broken_pairs(pairs: DataFrame, prompts: DataFrame, sample: list[tuple[str, s
     judged = materialize(joined.mapInPandas(judge, f"pair {kind}, defect string, tail array<string>"), "judged")
     # a first context marked 0 is the last word where the prompt lacks it: unknown unless others use it on
     asked = judged.where("size(tail) > 0").select("pair", "defect", F.explode("tail").alias("asked")).withColumn("context", F.regexp_replace("asked", "^0\t", "1\t"))
-    stats = end_statistics(pairs)
+    stats = materialize(end_statistics(pairs.select("pair", "prompt", "answer").dropDuplicates(["pair", "prompt", "answer"])), "endings")
     share = F.col("ends") / F.col("n")
     order = F.substring("context", 1, 1)
     low = F.lit(False)
@@ -299,7 +334,12 @@ def broken_pairs(pairs: DataFrame, prompts: DataFrame, sample: list[tuple[str, s
     unfinished = F.coalesce((F.col("n") >= LEAST_SUPPORT) & low, F.lit(False)) | (
         F.col("asked").startswith("0\t") & (F.coalesce(F.col("follows") + F.col("ends") / 3, F.lit(0.0)) < 1)
     )
-    ends = asked.join(stats, "context", "left").groupBy("pair").agg(F.max("defect").alias("d"), F.max(unfinished).alias("cut"))
+    after = F.get("tail", F.lit(1))
+    tails = judged.where(F.get("tail", F.lit(0)).startswith("0\t")).select(
+        "pair", F.regexp_replace(F.get("tail", F.lit(0)), "^0\t", "1\t").alias("word"), F.when(after.startswith("2\t"), after).alias("after")
+    )
+    fragments = tails.join(word_fragments(tails, stats), ["word", "after"], "left_semi").select("pair", F.lit("").alias("defect"), F.lit(True).alias("cut"))
+    ends = asked.join(stats, "context", "left").select("pair", "defect", unfinished.alias("cut")).union(fragments).groupBy("pair").agg(F.max("defect").alias("d"), F.max("cut").alias("cut"))
     late = ends.select("pair", F.when(F.col("cut"), F.lit("truncated")).otherwise(F.col("d")).alias("defect"))
     return judged.where("size(tail) = 0").select("pair", "defect").union(late).where("defect <> ''")
 

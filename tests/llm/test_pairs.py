@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillmill.llm.pairs import Languages, broken_pairs, is_copy, is_empty, is_refusal, lcs, unboxed
+from quillmill.llm.pairs import Languages, broken_pairs, end_statistics, is_copy, is_empty, is_refusal, lcs, unboxed
 
 SAMPLE = [
     ("en", "the cat was on the table and nobody wanted to move it because it was asleep and they had no time for this"),
@@ -64,3 +64,27 @@ def test_pairs(spark):
     assert got == [(500, "truncated"), (502, "truncated"), (503, "empty"), (504, "truncated"), (505, "truncated"), (507, "language")]
     assert broken_pairs(pairs.limit(0), prompts, SAMPLE).count() == 0
     assert broken_pairs(pairs.where("pair = 503"), prompts.limit(0), []).count() == 1
+
+
+def test_word_fragments_stay_cut_however_many_answers_end_on_them(spark):
+    whole = [f"{who} asks about the {what} and changes the subject at once." for who in ("Anna", "Ben", "Eva", "Tom") for what in ("rope", "bench", "cup", "door", "lamp")]
+    cut = [f"{who} changes the sub" for who in ("Anna", "Ben", "Eva", "Tom", "Ida")]
+    marked = ["Anna changes the sub...", "Ben changes the sub [truncated]"]
+    phrases = [f"next week at the {what} hall" for what in ("ticket", "small", "old", "town", "ticket")]
+    for times in (1, 10):  # the same share of cuts in ten times the rows
+        texts = (whole + cut + marked + phrases) * times
+        rows = [(k, 1, t) for k, t in enumerate(texts)] + [(0, 1, texts[0])]
+        pairs = spark.createDataFrame(rows, "pair int, prompt long, answer string")
+        prompts = spark.createDataFrame([(1, "Why does she ask that", "They met near the shed")], "prompt long, question string, scene string")
+        got = {r["pair"] for r in broken_pairs(pairs, prompts, []).where("defect = 'truncated'").collect()}
+        assert got == {k for k, t in enumerate(texts) if t in cut + marked}
+
+
+def test_end_statistics_count_no_cut_as_use_and_redelivered_rows_once(spark):
+    answers = spark.createDataFrame([("the sub",), ("the sub...",), ("the sub <cut>",), ("\\boxed{the sub",), ("a sub at sea.",), ("my sub.",)], "answer string")
+    got = {r["context"]: (r["n"], r["follows"]) for r in end_statistics(answers).collect()}
+    assert got["1\tsub"] == (6, 2) and got["2\tthe sub"] == (4, 0)
+    rows = [(1, 1, "Ann likes the old benc")] * 5 + [(2, 1, "Ann likes the old rope.")]
+    pairs = spark.createDataFrame(rows, "pair int, prompt long, answer string")
+    prompts = spark.createDataFrame([(1, "", "")], "prompt long, question string, scene string")
+    assert {(r["pair"], r["defect"]) for r in broken_pairs(pairs, prompts, []).collect()} == {(1, "truncated")}
