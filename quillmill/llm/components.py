@@ -50,12 +50,14 @@ class Forest:
         return pd.DataFrame(rows, columns=["a", "b"], dtype=np.int64)
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(batches: Iterator[pd.DataFrame], bound: int | None) -> Iterator[pd.DataFrame]:
+    """Spanning forest of a partition; one that outgrows ``bound`` nodes is given out and begun
+    anew, so what comes out may still have to be merged. Without a bound it is final."""
     f = Forest()
     for pdf in batches:
         for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
             f.join(a, b)
-        if len(f.up) > TASK_EDGES:  # the rest of this partition starts a new forest
+        if bound is not None and len(f.up) > bound:  # the rest of this partition starts a new forest
             yield f.frame()
             f = Forest()
     yield f.frame()
@@ -66,20 +68,28 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> Data
     node of the component.
 
     Null ends and self-loops carry no link and are dropped; repeated edges count once; no edges
-    give no rows.
+    give no rows. A task holds one forest of about ``task_edges`` nodes, the last one a forest of
+    at most ``task_edges`` edges, whatever their nodes.
     """
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _forest(batches, task_edges)
+
+    def final(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _forest(batches, None)
+
     pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a is not null and b is not null and a <> b")
-    forest = materialize(pairs.mapInPandas(_forest, "a long, b long"), "forest")
+    forest = materialize(pairs.mapInPandas(local, "a long, b long"), "forest")
     n, parts = forest.count(), max(1, forest.rdd.getNumPartitions())
     while n > task_edges:
         parts = max(1, parts // FAN_IN, n // task_edges)
-        merged = materialize(forest.repartition(parts, F.col("b")).mapInPandas(_forest, "a long, b long"), "forest")
+        merged = materialize(forest.repartition(parts, F.col("b")).mapInPandas(local, "a long, b long"), "forest")
         m = merged.count()
         forest = merged
         if m > 0.8 * n:
             return _stars(forest)
         n = m
-    roots = materialize(forest.coalesce(1).mapInPandas(_forest, "a long, b long"), "roots") if n else forest
+    roots = materialize(forest.coalesce(1).mapInPandas(final, "a long, b long"), "roots") if n else forest
     return roots.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select(F.col("b"), F.col("b")).distinct())
 
 

@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark import cloudpickle
 
+from quillmill.llm import components
 from quillmill.llm.components import connected_components
 from quillmill.llm.splits import assign_splits, place_runs, related_groups
 
@@ -26,6 +28,22 @@ def test_components_equal_union_find(spark, bound):
     assert connected_components(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [600, 20])
+def test_components_have_one_root_where_nodes_exceed_the_bound_on_edges(spark, bound, monkeypatch):
+    monkeypatch.setattr(components, "TASK_EDGES", bound)
+    cloudpickle.register_pickle_by_value(components)  # so that the workers see the bound
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "50")
+    try:
+        parts = [spark.createDataFrame([(3 * k + 2, 3 * k + x) for k in range(300)], "a long, b long").coalesce(1) for x in (1, 0)]
+        got = sorted((r["node"], r["root"]) for r in connected_components(parts[0].union(parts[1]), bound).collect())
+    finally:
+        spark.conf.set(batch, before)
+        cloudpickle.unregister_pickle_by_value(components)
+    assert got == [(n, n - n % 3) for n in range(900)]
+
+
 def test_related_through_others_and_keyless(spark):
     rows = [(1, "x", "p"), (2, "y", "p"), (3, "y", "q"), (4, None, "q"), (5, None, None), (6, None, None), (7, "z", None), (3, "y", "q"), (8, None, "r"), (9, None, "r"), (None, "x", "p")]
     df = spark.createDataFrame(rows, "record long, domain string, passage string")
