@@ -23,11 +23,18 @@ def once_per_key(log: DataFrame, key: str, time: str, late: str = "30 days") ->
     return log.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def windowed(log: DataFrame, time: str, by: list[str], size: str = "1 day", late: str = "1 day") -> DataFrame:
-    """Rows per window of event time and group; rows later than the watermark are left out."""
+def windowed(log: DataFrame, time: str, by: list[str], size: str = "1 day", late: str = "30 days") -> DataFrame:
+    """Rows per window of event time and group. A stream has to give a window out at some time, so
+    rows later than the watermark are not in it; `counted` has them."""
     return log.withWatermark(time, late).groupBy(F.window(time, size), *by).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(appended: DataFrame, time: str, by: list[str], size: str = "1 day") -> DataFrame:
+    """The same counts over the folder `append_pending` fills, read as a table: every key once and
+    every row, however late it came. Rows without a time are in no window."""
+    return appended.groupBy(F.window(time, size), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
 def append_pending(log: DataFrame, key: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df):
     """Start a query that appends to a Parquet folder the records of each batch whose key is not
     there yet: a batch that is run again after a failure adds nothing."""

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,20 @@ def test_streams_add_every_record_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select * from w").count() >= 0
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    days = [0, 20, 21, 1, 80, 81, 2]  # one batch each: day 1 is 20 days late, day 2 is 79
+    for k, day in enumerate(days):
+        row = spark.range(k, k + 1, 1, 1).select(F.col("id").alias("log_no"), F.timestamp_seconds(F.lit(day * 86400 + 60)).alias("logged_at"))
+        row.write.mode("append").parquet(src)
+        time.sleep(0.1)
+    log = logs.read_log(spark, src, row.schema, 1)
+    q = logs.windowed(log, "logged_at", []).writeStream.format("memory").queryName("late").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["d"] for r in spark.sql("select datediff(window.start, date'1970-01-01') d from late").collect()) == [0, 1, 20, 21]
+    logs.append_pending(log, "log_no", out, str(tmp_path / "cp")).awaitTermination()
+    got = logs.counted(spark.read.parquet(out), "logged_at", []).selectExpr("datediff(window.start, date'1970-01-01') d", "n").collect()
+    assert sorted((r["d"], r["n"]) for r in got) == [(d, 1) for d in sorted(days)]
