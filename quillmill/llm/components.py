@@ -83,7 +83,8 @@ def connected_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> Data
     n, parts = forest.count(), max(1, forest.rdd.getNumPartitions())
     while n > task_edges:
         parts = max(1, parts // FAN_IN, n // task_edges)
-        merged = materialize(forest.repartition(parts, F.col("b")).mapInPandas(local, "a long, b long"), "forest")
+        # by the member, of which a partition has at most one row a forest: the root of a giant component would be one key
+        merged = materialize(forest.repartition(parts, F.col("a")).mapInPandas(local, "a long, b long"), "forest")
         m = merged.count()
         forest = merged
         if m > 0.8 * n:

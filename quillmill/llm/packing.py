@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.registry import register
+from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
 
 #: Folder of the public tokenizers' files, tokens of a training context, items of a pool.
@@ -155,9 +156,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY, pool_items: int = POOL_ITEM
 
     pooled = rest.withColumn("pool", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(pools)).cast("long"))
     packed = pooled.groupBy("pool").applyInPandas(fill, COLUMNS)
-    # a full piece is a context by itself, in a pool of its own kind
-    alone = whole.select(F.lit(-1).cast("long").alias("pool"), F.xxhash64("doc_id", "piece").alias("context"), F.lit(0).cast("long").alias("place"), "doc_id", F.col("piece").cast("long").alias("piece"), F.col("first_token").cast("long").alias("first_token"), "tokens")
-    return packed.union(alone)
+    # a full piece is a context by itself, in a pool of its own kind, numbered one by one
+    alone = global_rank(whole.select("doc_id", F.col("piece").cast("long").alias("piece"), F.col("first_token").cast("long").alias("first_token"), "tokens"), [F.col("doc_id"), F.col("piece")], "k")
+    return packed.union(alone.select(F.lit(-1).cast("long").alias("pool"), (F.col("k") - 1).alias("context"), F.lit(0).cast("long").alias("place"), "doc_id", "piece", "first_token", "tokens"))
 
 
 COLUMNS = "pool long, context long, place long, doc_id long, piece long, first_token long, tokens long"

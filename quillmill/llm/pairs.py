@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 
 from quillmill.llm.prompts import question_of, scene_of, words
 from quillmill.llm.registry import register
+from quillmill.operators.ranking import top_by
 from quillmill.session import materialize, table
 
-#: Documents per language the language model is fitted on, and letters read of each.
-FIT_DOCS, FIT_CHARS = 300, 2000
+#: Documents per language the language model is fitted on, whole texts; a label is a language if at
+#: least this share of the labelled documents bears it (so there are at most 1 / share of them).
+FIT_DOCS, LANGUAGE_SHARE = 300, 0.005
 #: Least support and largest share of sentence ends at which the last words count as unfinished.
 LEAST_SUPPORT, END_SHARE = 20, {"1": 0.015, "2": 0.015, "4": 0.004}
 #: A word is unused if its uses are at most this share of its loose ends (nothing follows, no stop).
@@ -164,28 +166,35 @@ def _plain_words(text: str) -> list[str]:
     return [x for x in re.findall(r"[^\W\d_]+", text) if not x[0].isupper()]
 
 
+def _trigrams(text: str) -> Iterator[str]:
+    for w in _plain_words(text):
+        p = f" {w} "
+        for i in range(len(p) - 2):
+            yield p[i : i + 3]
+
+
 class Languages:
     """Letter-trigram model: which of the labelled languages a text is in."""
 
-    def __init__(self, sample: list[tuple[str, str]]) -> None:
-        counts: dict[str, Counter] = {}
-        for lang, text in sample:
-            c = counts.setdefault(lang, Counter())
-            for w in _plain_words(text):
-                p = f" {w} "
-                c.update(p[i : i + 3] for i in range(len(p) - 2))
-        self.names = sorted(counts)
-        grams = sorted({g for c in counts.values() for g in c})
+    def __init__(self, counts: list[tuple[str, str, int]]) -> None:
+        """``counts``: (language, trigram, occurrences)."""
+        by: dict[str, Counter] = {}
+        for lang, g, n in counts:
+            by.setdefault(lang, Counter())[g] += n
+        self.names = sorted(by)
+        grams = sorted({g for c in by.values() for g in c})
         self.at = {g: i for i, g in enumerate(grams)}
-        m = np.array([[counts[n][g] for g in grams] for n in self.names], float).reshape(len(self.names), len(grams)) + 0.5
+        m = np.array([[by[n][g] for g in grams] for n in self.names], float).reshape(len(self.names), len(grams)) + 0.5
         self.log = np.log(m / m.sum(1, keepdims=True)) if len(self.names) else m
 
+    @classmethod
+    def of_texts(cls, sample: list[tuple[str, str]]) -> Languages:
+        """Fitted on (language, text)."""
+        return cls([(lang, g, 1) for lang, text in sample for g in _trigrams(text)])
+
     def scores(self, text: str) -> tuple[np.ndarray, int]:
         """Log-likelihood by language, and the trigrams it rests on."""
-        ix = []
-        for w in _plain_words(text):
-            p = f" {w} "
-            ix += [self.at[g] for i in range(len(p) - 2) if (g := p[i : i + 3]) in self.at]
+        ix = [self.at[g] for g in _trigrams(text) if g in self.at]
         return self.log[:, ix].sum(1), len(ix)
 
     def differ(self, prompt: str, answer: str, margin: float = 6.0) -> bool:
@@ -282,16 +291,16 @@ def word_fragments(tails: DataFrame, stats: DataFrame) -> DataFrame:
     return asked.join(most, "word").where((F.col("unused") & (F.col("continued") | F.col("mostly"))) | alone).select("word", "after")
 
 
-def broken_pairs(pairs: DataFrame, prompts: DataFrame, sample: list[tuple[str, str]]) -> DataFrame:
+def broken_pairs(pairs: DataFrame, prompts: DataFrame, model: Languages) -> DataFrame:
     """(pair, defect) of each defective pair, at most one defect a pair.
 
     ``pairs`` has (pair: any type, prompt: bigint, answer: string), ``prompts`` (prompt, question,
-    scene); ``sample`` is (language, text) the language model is fitted on. In this order a pair is
+    scene); ``model`` tells languages apart (fewer than two: none). In this order a pair is
     empty (also a null answer), refusal, copy, truncated, language. A pair without its prompt is
     judged by its answer alone. Repeated pairs repeat their defect and count once in the statistics;
     no pairs give no rows.
     """
-    languages = pairs.sparkSession.sparkContext.broadcast(Languages(sample))
+    languages = pairs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = languages.value
@@ -358,18 +367,28 @@ def _prompts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sft_task").select(F.col("task_no").alias("prompt"), question_of(m).alias("question"), scene_of(m).alias("scene")).dropDuplicates(["prompt"])
 
 
-def language_sample(docs: DataFrame, per_language: int = FIT_DOCS, chars: int = FIT_CHARS) -> list[tuple[str, str]]:
-    """(lang, text) of at most ``per_language`` labelled documents of each of at most 20 languages."""
-    from quillmill.operators.ranking import top_by
+def fit_languages(docs: DataFrame, per_language: int = FIT_DOCS, share: float = LANGUAGE_SHARE) -> Languages:
+    """Language model of the labels that at least ``share`` of the labelled documents bear, fitted
+    on ``per_language`` documents of each, whole texts. Trigrams are counted on the executors."""
+    labelled = docs.where("lang is not null and length(text) > 100")
+    size = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    enough = size.crossJoin(F.broadcast(size.agg(F.sum("n").alias("all")))).where(F.col("n") >= share * F.col("all")).select("lang")  # all: one row
+    drawn = top_by(labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")), ["lang"], [F.col("h")], per_language).join(enough, "lang", "left_semi").select("lang", "doc_id")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for pdf in batches:
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                total.update((lang, g) for g in _trigrams(text))
+        yield pd.DataFrame([(lang, g, n) for (lang, g), n in total.items()], columns=["lang", "gram", "n"])
 
-    labelled = docs.where("lang is not null and length(text) > 100").select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("h"))
-    rows = top_by(labelled, ["lang"], [F.col("h")], per_language).limit(20 * per_language).collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    texts = labelled.select("doc_id", "lang", "text").join(drawn, ["lang", "doc_id"], "left_semi").select("lang", "text")
+    rows = texts.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()  # trigrams of the fitted sample
+    return Languages([(r["lang"], r["gram"], r["n"]) for r in rows])
 
 
 @register("p4_found")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective question and answer pairs with their defect."""
-    sample = language_sample(table(spark, d, "documents"))
-    found = broken_pairs(_pairs(spark, d), _prompts(spark, d), sample)
+    found = broken_pairs(_pairs(spark, d), _prompts(spark, d), fit_languages(table(spark, d, "documents")))
     return found.select("pair.row_table", "pair.row_no", "defect").distinct()

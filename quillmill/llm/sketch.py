@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 
 from quillmill.llm.prompts import WordHashes, shingle_table
 
-#: Texts handled at once in a task, and slices the counters are merged in.
-BATCH, SLICES = 2000, 64
+#: Texts handled at once in a task, counters of a slice they are merged in, and partitions that merge.
+BATCH, SLICE, MERGERS = 2000, 4096, 64
 
 
 def slot(key: np.ndarray, slots: int) -> np.ndarray:
@@ -47,15 +47,19 @@ def count_sketch(sets: DataFrame, slots: int, keys_of: Callable[[np.ndarray, np.
                     at, n = np.unique(slot(x, slots), return_counts=True)
                     total[at] += n.astype(np.uint32)
         pack = zstandard.ZstdCompressor(level=1).compress
-        yield pd.DataFrame({"slice": range(SLICES), "counts": [pack(x.tobytes()) for x in np.split(total, SLICES)]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor().decompress
-        total = np.zeros(slots // SLICES, np.uint64)
-        for b in pdf["counts"]:
-            total += np.frombuffer(unpack(b), np.uint32)
-        return pd.DataFrame({"slice": [pdf["slice"].iloc[0]], "counts": [np.minimum(total, 65535).astype(np.uint16).tobytes()]})
-
-    rows = sets.select("text").mapInPandas(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    got = {r["slice"]: np.frombuffer(r["counts"], np.uint16) for r in rows}
-    return np.concatenate([got.get(s, np.zeros(slots // SLICES, np.uint16)) for s in range(SLICES)])
+        used = [i for i in range(slots // SLICE) if total[i * SLICE : (i + 1) * SLICE].any()]
+        yield pd.DataFrame({"slice": used, "counts": [pack(total[i * SLICE : (i + 1) * SLICE].tobytes()) for i in used]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack, total = zstandard.ZstdDecompressor().decompress, {}
+        for pdf in batches:  # added up as they come: a merger holds its slices once, however many tasks there were
+            for i, b in zip(pdf["slice"], pdf["counts"]):
+                x = np.frombuffer(unpack(b), np.uint32)
+                total[i] = total[i] + x if i in total else x.astype(np.uint64)
+        yield pd.DataFrame({"slice": list(total), "counts": [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in total.values()]})
+
+    counted = sets.select("text").mapInPandas(count, "slice int, counts binary")
+    out = np.zeros(slots, np.uint16)
+    for r in counted.repartition(MERGERS, "slice").mapInPandas(add, "slice int, counts binary").collect():  # two bytes a slot
+        out[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint16)
+    return out

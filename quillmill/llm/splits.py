@@ -10,6 +10,9 @@ has at most sqrt(2 * records) rows, and a distributed rank tells each group its
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,9 @@ from quillmill.llm.registry import register
 from quillmill.operators.ranking import global_rank
 from quillmill.session import materialize, table
 
+#: Runs of an assignment that are broadcast; more are joined by shuffle.
+BROADCAST_RUNS = 100_000
+
 
 def dataset_name(c: Column) -> Column:
     """One spelling of a source dataset: lower case, ``-`` as ``_``, no ``.jsonl`` ending."""
@@ -37,34 +43,40 @@ def passage_words(c: Column) -> Column:
     return F.when(t != "", t)
 
 
+def _digest(kind: str, c: Column) -> Column:
+    """128-bit digest of a key, null for null."""
+    return F.unhex(F.md5(F.concat(F.lit(kind), c.cast("string"))))
+
+
 def related_groups(records: DataFrame) -> DataFrame:
     """(record, root) where ``records`` has (record: bigint, domain: string, passage: string).
 
     Records with equal, non-null domain or passage are in one group, also through others. Null
-    keys relate nothing; a record with neither key is its own group. Repeated records and keys
-    count once. ``root`` is an arbitrary but stable number of the group.
+    records are dropped; a record with neither key is its own group. Repeated records and keys
+    count once. ``root`` is an arbitrary but stable digest of the group.
     """
-    r = records.where("record is not null").select(
-        "record",
-        F.xxhash64(F.lit("d"), "domain").alias("dk"), F.col("domain").isNotNull().alias("hd"),
-        F.xxhash64(F.lit("p"), "passage").alias("pk"), F.col("passage").isNotNull().alias("hp"),
-    )
-    edges = r.where("hd and hp").groupBy("dk", "pk").agg(F.lit(1)).select(F.col("pk").alias("a"), F.col("dk").alias("b"))
+    r = records.where("record is not null").select("record", _digest("d", F.col("domain")).alias("dk"), _digest("p", F.col("passage")).alias("pk"))
+    edges = r.where("dk is not null and pk is not null").groupBy("dk", "pk").agg(F.lit(1)).select(F.col("pk").alias("a"), F.col("dk").alias("b"))
     # a passage under one domain only links nothing new: its root is the domain's
     by_passage = materialize(edges.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi")), "passages")
-    several = edges.join(by_passage.where("lo < hi").select("a"), "a", "left_semi")
-    comp = connected_components(several)
-    key = F.when(F.col("hd"), F.col("dk")).when(F.col("hp"), F.coalesce("lo", F.col("pk"))).otherwise(F.xxhash64(F.lit("r"), "record"))
+    several = edges.join(by_passage.where("lo < hi").select("a", "lo"), "a").where("b <> lo").select("b", "lo")  # domains that share a passage
+    nodes = materialize(several.select(F.col("b").alias("key")).union(several.select("lo")).distinct().withColumn("id", F.monotonically_increasing_id()), "nodes")
+    numbered = several.join(nodes.select(F.col("key").alias("b"), F.col("id").alias("x")), "b").join(nodes.select(F.col("key").alias("lo"), F.col("id").alias("y")), "lo")
+    comp = connected_components(numbered.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    roots = comp.join(nodes.withColumnRenamed("id", "node"), "node").join(nodes.select(F.col("id").alias("root"), F.col("key").alias("top")), "root").select(F.col("key").alias("node"), "top")
+    key = F.coalesce("dk", "lo", "pk", _digest("r", F.col("record")))
     keyed = r.join(by_passage.select(F.col("a").alias("pk"), "lo"), "pk", "left").select("record", key.alias("node"))
-    return keyed.join(comp, "node", "left").select("record", F.coalesce("root", "node").alias("root")).groupBy("record").agg(F.min("root").alias("root"))
+    return keyed.join(roots, "node", "left").select("record", F.coalesce("top", "node").alias("root")).groupBy("record").agg(F.min("root").alias("root"))
 
 
 def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """(root, n, split): greedy largest-first assignment of whole groups.
 
     ``groups`` has (root, n). Each group goes to the split furthest below its share of all
-    records; equal shortfalls go to the split named first. Groups of equal size are ordered by a
-    seeded hash. Shares are weights and need not add up to 1; no groups give no rows.
+    records; equal shortfalls go to the split named first. Groups of equal size can be taken in
+    any order: they are lined up by a seeded hash, and each split gets as many of them as the
+    greedy gives it, side by side. Shares are weights and need not add up to 1; no groups give no
+    rows.
     """
     if not shares or min(shares.values()) < 0 or sum(shares.values()) <= 0:
         raise ValueError("shares must be weights of at least 0, not all 0")
@@ -72,36 +84,48 @@ def assign_splits(groups: DataFrame, shares: dict[str, float], seed: int = 0) ->
     hist = groups.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()  # at most sqrt(2 * records) rows
     runs = place_runs([(int(h["n"]), int(h["c"])) for h in hist], shares)
     spark = groups.sparkSession
-    plan = spark.createDataFrame(runs or [(0, 0, 0, "")], "n long, first long, last long, split string")
     ranked = global_rank(groups, [F.desc("n"), F.xxhash64(F.lit(seed), "root"), F.col("root")], "place")
-    starts, at = [], 0
-    for h in hist:
-        starts.append((int(h["n"]), at))
-        at += int(h["c"])
-    start = spark.createDataFrame(starts or [(0, 0)], "n long, start long")
-    within = ranked.join(F.broadcast(start), "n").withColumn("k", F.col("place") - F.col("start"))
-    return within.join(F.broadcast(plan), (within.n == plan.n) & within.k.between(plan["first"] + 1, plan["last"])).select("root", within.n, "split")
+    plan = spark.createDataFrame(runs or [(0, 0, 0, "")], "n long, first long, last long, split string")
+    # at most a row per size and split
+    plan = F.broadcast(plan) if len(runs) <= BROADCAST_RUNS else plan
+    return ranked.join(plan, (ranked.n == plan.n) & ranked.place.between(plan["first"] + 1, plan["last"])).select("root", ranked.n, "split")
 
 
 def place_runs(hist: list[tuple[int, int]], shares: dict[str, float]) -> list[tuple[int, int, int, str]]:
-    """Runs (size, first, last, split) over the groups of each size, sizes largest first: the
-    groups after ``first`` up to ``last`` of that size go to ``split``."""
+    """Runs (size, first, last, split) over the groups in order, sizes largest first: the groups
+    after place ``first`` up to ``last`` have that size and go to ``split``; at most one run a size
+    and split.
+
+    A split takes its k-th group of a size while its shortfall is still x - (k - 1) * size, so of c
+    groups each split gets those of its offers that are among the c largest of all offers.
+    """
     total, names = sum(n * c for n, c in hist), list(shares)
-    short = {s: total * shares[s] / sum(shares.values()) for s in names}
+    weight = {s: Fraction(shares[s]) for s in names}
+    per = total / sum(weight.values(), Fraction(0))
+    unit = math.lcm(*[(per * w).denominator for w in weight.values()])
+    short = {s: int(per * weight[s] * unit) for s in names}  # exact, in parts of a record
     out: list[tuple[int, int, int, str]] = []
+    at = 0
     for n, c in hist:
-        at = 0
-        while at < c:
-            best = max(names, key=lambda s: short[s])
-            rest = max((short[s] for s in names if s != best), default=float("-inf"))
-            # as many in one go as leave it furthest below, at least one
-            k = min(c - at, max(1, int((short[best] - rest) // n) if rest > float("-inf") else c))
-            short[best] -= k * n
-            if out and out[-1][0] == n and out[-1][3] == best and out[-1][2] == at:
-                out[-1] = (n, out[-1][1], at + k, best)
+        step = n * unit
+        low, high = min(short.values()) - c * step, max(short.values())  # the c-th largest offer lies between
+        while low < high:
+            mid = (low + high + 1) // 2
+            if sum(max(0, (x - mid) // step + 1) for x in short.values()) >= c:
+                low = mid
             else:
-                out.append((n, at, at + k, best))
-            at += k
+                high = mid - 1
+        got = {s: max(0, (short[s] - low - 1) // step + 1) for s in names}
+        left = c - sum(got.values())
+        for s in names:  # offers equal to the last one taken: first come
+            if left and short[s] >= low and (short[s] - low) % step == 0:
+                got[s] += 1
+                left -= 1
+        for s in names:
+            if got[s]:
+                out.append((n, at, at + got[s], s))
+                at += got[s]
+                short[s] -= got[s] * step
     return out
 
 
@@ -117,11 +141,10 @@ def task_keys(spark: SparkSession, d: str) -> DataFrame:
     row = F.col("metadata.source_row")
     t = table(spark, d, "sft_task").where(row.isNotNull() & F.col("task_no").isNotNull()).select(
         F.col("task_no").alias("record"), dataset_name(F.col("source_dataset")).alias("ds"), row["domain_index"].alias("domain_id"),
-        domain_words(row["domain_seed"]).alias("own"), F.xxhash64(passage_words(row["content"])).cast("string").alias("h"),
-        passage_words(row["content"]).isNotNull().alias("has"),
+        domain_words(row["domain_seed"]).alias("own"), F.md5(passage_words(row["content"])).alias("passage"),
     )
     return t.join(by_id, ["ds", "domain_id"], "left").select(
-        "record", F.coalesce("seed_words", "own").alias("domain"), F.when(F.col("has"), F.col("h")).alias("passage")
+        "record", F.coalesce("seed_words", "own").alias("domain"), "passage"
     )
 
 

@@ -10,7 +10,7 @@ from quillmill.llm.leakage import leaked_phrases
 from quillmill.llm.neardup import near_duplicate_groups
 from quillmill.llm.overlap import cross_split_pairs
 from quillmill.llm.packing import pack, token_counts
-from quillmill.llm.pairs import broken_pairs
+from quillmill.llm.pairs import Languages, broken_pairs
 from quillmill.llm.residue import residue
 from quillmill.llm.splits import assign_splits, related_groups
 from quillmill.llm.truncation import truncated_records
@@ -39,7 +39,7 @@ def test_all_operators(spark):
     same(related_groups, frame([(1, "x", "p"), (2, "y", "p")], "record long, domain string, passage string"))
     same(lambda df: assign_splits(df, {"train": 1.0}), frame([(1, 2)], "root long, n long"))
     same(truncated_records, frame([("s", "open (and"), ("s", "Done.")], "source string, text string"))
-    same(lambda p, q: broken_pairs(p, q, []), frame([(1, 1, None), (2, 1, text)], "pair int, prompt long, answer string"), frame([(1, text, text)], "prompt long, question string, scene string"))
+    same(lambda p, q: broken_pairs(p, q, Languages([])), frame([(1, 1, None), (2, 1, text)], "pair int, prompt long, answer string"), frame([(1, text, text)], "prompt long, question string, scene string"))
     same(near_duplicate_groups, frame([(1, text), (2, text + " again"), (3, "x")], "no long, text string"))
     same(lambda df: cross_split_pairs(df, Fraction(1, 2)), frame([(1, "train", text), (2, "val", text)], "no long, split string, text string"))
     same(pack, frame([(1, 5000), (2, 3)], "doc_id long, tokens long"))

@@ -34,7 +34,7 @@ def test_every_item_once_and_no_worse_than_first_fit():
 
 def test_pack_keeps_everything_and_splits_only_above_capacity(spark):
     rnd = random.Random(9)
-    rows = [(k, rnd.choice([1, 7, 50, 99, 100, 101, 250, 1000])) for k in range(500)] + [(7, 5), (None, 3), (900, 0), (901, None), (902, 10**6)]
+    rows = [(k, rnd.choice([1, 7, 50, 99, 100, 101, 250, 1000])) for k in range(500)] + [(7, 5), (7, 100), (7, 100), (8, 300), (8, 300), (None, 3), (900, 0), (901, None), (902, 10**6)]
     got = pack(spark.createDataFrame(rows, "doc_id long, tokens long"), 100, 60).collect()
     assert sum(r["tokens"] for r in got) == sum(n for k, n in rows if k is not None and n)
     load = Counter()

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillmill.llm.pairs import Languages, broken_pairs, end_statistics, is_copy, is_empty, is_refusal, lcs, unboxed
+from quillmill.llm.pairs import Languages, broken_pairs, end_statistics, fit_languages, is_copy, is_empty, is_refusal, lcs, unboxed
 
 SAMPLE = [
     ("en", "the cat was on the table and nobody wanted to move it because it was asleep and they had no time for this"),
@@ -49,7 +49,7 @@ def test_copies_repeat_the_question_only():
 
 def test_languages_need_two():
     assert not Languages([]).differ("the cat", "die katze war auf dem tisch")
-    m = Languages(SAMPLE)
+    m = Languages.of_texts(SAMPLE)
     assert m.differ("the cat was asleep", "niemand wollte die katze wecken weil sie schlief")
     assert not m.differ("the cat was asleep", "nobody wanted to move the cat")
 
@@ -60,10 +60,10 @@ def test_pairs(spark):
     rows += [(500, 1, "Anna wants the"), (501, 1, "Anna wants the old rope"), (502, 1, "Anna wants the old benchm"), (503, 1, None), (504, 2, "Anna takes the"), (505, None, "\\boxed{Anna likes"), (506, 1, "Ben"), (507, 1, "niemand wollte die katze wecken weil sie schlief und alle keine zeit hatten."), (500, 1, "Anna wants the"), (508, 1, "Anna likes the red cup. " * 3000)]
     pairs = spark.createDataFrame(rows, "pair int, prompt long, answer string")
     prompts = spark.createDataFrame([(1, "What does the cat do to Ben", "the cat was on the table and Ben was asleep")], "prompt long, question string, scene string")
-    got = sorted((r["pair"], r["defect"]) for r in broken_pairs(pairs, prompts, SAMPLE).distinct().collect())
+    got = sorted((r["pair"], r["defect"]) for r in broken_pairs(pairs, prompts, Languages.of_texts(SAMPLE)).distinct().collect())
     assert got == [(500, "truncated"), (502, "truncated"), (503, "empty"), (504, "truncated"), (505, "truncated"), (507, "language")]
     assert broken_pairs(pairs.limit(0), prompts, SAMPLE).count() == 0
-    assert broken_pairs(pairs.where("pair = 503"), prompts.limit(0), []).count() == 1
+    assert broken_pairs(pairs.where("pair = 503"), prompts.limit(0), Languages([])).count() == 1
 
 
 def test_word_fragments_stay_cut_however_many_answers_end_on_them(spark):
@@ -76,7 +76,7 @@ def test_word_fragments_stay_cut_however_many_answers_end_on_them(spark):
         rows = [(k, 1, t) for k, t in enumerate(texts)] + [(0, 1, texts[0])]
         pairs = spark.createDataFrame(rows, "pair int, prompt long, answer string")
         prompts = spark.createDataFrame([(1, "Why does she ask that", "They met near the shed")], "prompt long, question string, scene string")
-        got = {r["pair"] for r in broken_pairs(pairs, prompts, []).where("defect = 'truncated'").collect()}
+        got = {r["pair"] for r in broken_pairs(pairs, prompts, Languages([])).where("defect = 'truncated'").collect()}
         assert got == {k for k, t in enumerate(texts) if t in cut + marked}
 
 
@@ -87,4 +87,12 @@ def test_end_statistics_count_no_cut_as_use_and_redelivered_rows_once(spark):
     rows = [(1, 1, "Ann likes the old benc")] * 5 + [(2, 1, "Ann likes the old rope.")]
     pairs = spark.createDataFrame(rows, "pair int, prompt long, answer string")
     prompts = spark.createDataFrame([(1, "", "")], "prompt long, question string, scene string")
-    assert {(r["pair"], r["defect"]) for r in broken_pairs(pairs, prompts, []).collect()} == {(1, "truncated")}
+    assert {(r["pair"], r["defect"]) for r in broken_pairs(pairs, prompts, Languages([])).collect()} == {(1, "truncated")}
+
+
+def test_every_label_with_its_share_is_a_language(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrs"]
+    rows = [(40 * k + i, f"l{k:02}", " ".join([f"{w}{k:02}x" for w in words])) for k in range(30) for i in range(40)] + [(-1, "typo", "x" * 200), (-2, None, "y" * 200), (-3, "l00", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    assert fit_languages(docs, 5).names == [f"l{k:02}" for k in range(30)]
+    assert fit_languages(docs.limit(0)).names == []

@@ -1,4 +1,6 @@
 import random
+from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark import cloudpickle
@@ -66,6 +68,38 @@ def test_greedy_is_largest_first_to_the_furthest_below():
     assert all(abs(got[s] - sum(sizes) * shares[s] / 100) <= 2 for s in shares)
 
 
+def one_by_one(hist, shares):
+    total = sum(n * c for n, c in hist)
+    short = {s: Fraction(total) * Fraction(w) / sum(map(Fraction, shares.values())) for s, w in shares.items()}
+    got = Counter()
+    for n, c in hist:
+        for _ in range(c):
+            best = max(shares, key=lambda s: short[s])
+            short[best] -= n
+            got[n, best] += 1
+    return got
+
+
+def test_runs_give_each_split_what_the_greedy_gives():
+    rnd = random.Random(11)
+    for _ in range(300):
+        hist = sorted({rnd.randrange(1, 60): rnd.randrange(1, 40) for _ in range(rnd.randrange(1, 8))}.items(), reverse=True)
+        shares = {s: rnd.choice([0, 1, 5, 8.5, 80]) for s in ("train", "val", "test", "rest")[: rnd.randrange(1, 5)]}
+        if not sum(shares.values()):
+            continue
+        runs = place_runs(hist, shares)
+        got = Counter()
+        for n, first, last, split in runs:
+            got[n, split] += last - first
+        assert got == one_by_one(hist, shares)
+        assert len(runs) <= len(hist) * len(shares) and [r[1] for r in runs[1:]] == [r[2] for r in runs[:-1]]
+
+
+def test_a_million_equal_groups_take_three_runs():
+    runs = place_runs([(1, 1_000_000)], {"train": 80, "val": 10, "test": 10})
+    assert [(last - first, s) for _, first, last, s in runs] == [(800_000, "train"), (100_000, "val"), (100_000, "test")]
+
+
 def test_every_group_is_placed_once(spark):
     df = spark.createDataFrame([(k, 1 + k % 5) for k in range(200)], "root long, n long")
     out = assign_splits(df, {"train": 3, "val": 1})
