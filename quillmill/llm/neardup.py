@@ -17,6 +17,11 @@ may be missing must find at least (units - missing) of its pairs in every partne
   chance meetings are never shuffled.
 
 What is left is compared exactly, word by word. Exact copies are one set from the start.
+
+Groups need no pair of every two members. Sets that ask with the same keys are first linked to one
+representative, verified exactly; the look-up then passes over all sets of the looked-up set's own
+group as one run, so a group of many near copies costs a star of pairs and not all of them, and
+every link between different groups is still found.
 """
 
 from __future__ import annotations
@@ -53,6 +58,8 @@ DEAR = 300
 #: Sets whose asks form a block (about 500 bytes each in a worker), its slots, sets looked up at
 #: once, and meetings sorted at once.
 BLOCK_SETS, BLOCK_SLOTS, SCAN_SETS, MEETINGS = 60_000, 1 << 22, 30_000, 1_000_000
+#: Asked keys of a set that may find it a representative; what they miss the look-up finds.
+STAR_KEYS = 12
 
 
 def segment_bits(size: np.ndarray) -> np.ndarray:
@@ -129,33 +136,52 @@ def _asks(keys: Keys, size: np.ndarray, cost: np.ndarray, slots: int, t: Fractio
     taken = np.zeros(n_seg, bool)
     taken[order] = np.where(dear[order], before < want, before < want + SPARE_UNITS)
     total = np.bincount(seg_row, np.where(taken, units, 0), minlength=len(size)).astype(np.int64)
-    use = taken[pair_seg] & (~reduced[pair_seg] | (first[pair_seg] == np.arange(len(pair_seg))))
-    lone = taken[keys.segment] & alone[keys.segment]
+    poor = total < need  # at low similarities segments may not have the units: such a set asks with every single token
+    total = np.where(poor, size, total)
+    use = taken[pair_seg] & (~reduced[pair_seg] | (first[pair_seg] == np.arange(len(pair_seg)))) & ~poor[row[keys.left]]
+    lone = (taken[keys.segment] & alone[keys.segment]) | poor[row]
     return np.concatenate((row[keys.left][use], row[lone])), np.concatenate((keys.pairs[use], keys.singles[lone])), total
 
 
 class Block:
-    """Asked keys of some sets, by slot."""
+    """Asked keys of some sets, by slot; in a slot the sets of one group stand side by side, as a run."""
 
-    def __init__(self, rows: pa.Table) -> None:
+    def __init__(self, rows: pa.Table, linked: pa.Table) -> None:
+        """``linked`` has (no, root) of the sets that have been linked to others."""
         self.no = rows["no"].to_numpy()
         self.size = rows["size"].to_numpy().astype(np.int64)
         self.units = rows["units"].to_numpy().astype(np.int64)
+        root = self.no.copy()
+        who = linked["no"].to_numpy()
+        order = np.argsort(who)
+        place = np.searchsorted(who[order], self.no)
+        known = np.flatnonzero(place < len(who))
+        known = known[who[order][place[known]] == self.no[known]]
+        root[known] = linked["root"].to_numpy()[order][place[known]]
         keys = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
         of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
         at = slot(np.concatenate(keys) if keys else np.zeros(0, np.uint64), BLOCK_SLOTS)
-        order = np.argsort(at, kind="stable")
-        self.asks = of[order].astype(np.int64)
-        self.start = np.zeros(BLOCK_SLOTS + 1, np.int32)
-        np.cumsum(np.bincount(at, minlength=BLOCK_SLOTS), out=self.start[1:])
-
-    def meetings(self, row: np.ndarray, at: np.ndarray, no: np.ndarray, size: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(number of the smaller set, of the larger) that meet often enough; ``row`` and ``at``
-        are the rows and slots of the keys the larger sets hold, ordered by row."""
+        order = np.lexsort((root[of], at))
+        self.asks, at, group = of[order].astype(np.int64), at[order], root[of][order]
+        new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (group[1:] != group[:-1])))) if len(at) else np.zeros(0, np.int64)
+        self.run = np.concatenate((new, [len(at)]))  # where each run of asks begins
+        self.root = group[new]
+        self.start = np.zeros(BLOCK_SLOTS + 1, np.int32)  # first run of each slot
+        np.cumsum(np.bincount(at[new], minlength=BLOCK_SLOTS), out=self.start[1:])
+
+    def meetings(self, row: np.ndarray, at: np.ndarray, no: np.ndarray, size: np.ndarray, root: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the smaller set, of the larger) that are in different groups and meet often
+        enough; ``row`` and ``at`` are the rows and slots of the keys the larger sets hold, ordered
+        by row, ``root`` the group of each set."""
         first = self.start[at].astype(np.int64)
         count = self.start[at + 1] - first
         hit = count > 0
         row, first, count = row[hit], first[hit], count[hit]
+        which = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        row = np.repeat(row, count)
+        other = self.root[which] != root[row]
+        row, which = row[other], which[other]
+        first, count = self.run[which], self.run[which + 1] - self.run[which]
         total = np.cumsum(count)
         cut = 0
         while cut < len(row):  # whole rows, of bounded meetings together
@@ -176,29 +202,34 @@ class Block:
 
 
 _LOADED: dict[str, Block] = {}
+_ASKS = pa.schema([("no", pa.int64()), ("size", pa.int32()), ("units", pa.int32()), ("keys", pa.binary())])
+_LINKED = pa.schema([("no", pa.int64()), ("root", pa.int64())])
+
+
+def _read(path: str, schema: pa.Schema) -> pa.Table:
+    fs, at = pyarrow.fs.FileSystem.from_uri(path)
+    found = fs.get_file_info(pyarrow.fs.FileSelector(at, allow_not_found=True))
+    files = sorted(f.path for f in found if f.path.endswith(".parquet"))
+    return pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None).select(schema.names).cast(schema) for f in files] or [schema.empty_table()])
 
 
-def _block(path: str) -> Block:
+def _block(asks: str, linked: str | None, b: int) -> Block:
     """A block of asks from the shared folder; the last few stay in the worker."""
-    if path not in _LOADED:
+    name = f"{asks} {linked} {b}"
+    if name not in _LOADED:
         while len(_LOADED) >= 2:
             del _LOADED[next(iter(_LOADED))]
-        fs, at = pyarrow.fs.FileSystem.from_uri(path)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(at, allow_not_found=True))
-        files = sorted(f.path for f in found if f.path.endswith(".parquet"))
-        empty = pa.table({"no": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "units": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
-        _LOADED[path] = Block(pa.concat_tables([pq.read_table(f, filesystem=fs, partitioning=None).select(empty.column_names).cast(empty.schema) for f in files] or [empty]))
-    return _LOADED[path]
+        _LOADED[name] = Block(_read(f"{asks}/block={b}", _ASKS), _read(f"{linked}/block={b}", _LINKED) if linked else _LINKED.empty_table())
+    return _LOADED[name]
 
 
-def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """(a, b): the numbers of all texts whose distinct ``k``-word shingles have Jaccard
-    similarity ``t`` or more, a < b.
+def _block_of(no: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(no.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)
 
-    ``sets`` has (no: bigint, text: string) and is read several times (a written table). Texts of
-    fewer than ``k`` words are similar to none. Numbers must not repeat; texts may, but copies
-    are better taken out first.
-    """
+
+def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -> DataFrame:
+    """(a, b), a < b, of texts with similarity ``t`` or more: all of them, or with ``stars`` enough
+    of them to connect the same texts."""
     n = sets.count()
     spark = sets.sparkSession
     slots = slots_for(n, SLOTS_PER_SET)
@@ -221,11 +252,37 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, blo
                 cuts = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(part)))))
                 key = key[order]
                 no = part["no"].to_numpy()
-                out = {"no": no, "size": size, "units": units, "keys": [key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], "block": (mix(no.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)}
+                first = [np.sort(key[x:y])[:STAR_KEYS].astype(np.int64) for x, y in zip(cuts[:-1], cuts[1:])]
+                out = {"no": no, "size": size, "units": units, "keys": [key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], "first": first, "block": _block_of(no, blocks)}
                 yield pd.DataFrame(out)[np.diff(cuts) > 0]
 
     asks = f"{shared_dir(spark)}/asks-{uuid.uuid4().hex}"
-    sets.select("no", "text").mapInPandas(ask, "no long, size int, units int, keys binary, block int").write.partitionBy("block").parquet(asks)
+    schema = "no long, size int, units int, keys binary, first array<long>, block int"
+    sets.select("no", "text").mapInPandas(ask, schema).write.partitionBy("block").parquet(asks)
+    texts = sets.select("no", "text")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cut = lru_cache(1000)(lambda x: shingles(x, k))  # rows come ordered by b
+        for pdf in batches:
+            ok = [jaccard(cut(x), cut(y)) >= t for x, y in zip(pdf["ta"], pdf["tb"])]
+            yield pd.DataFrame({"a": pdf[["a", "b"]].min(axis=1)[ok], "b": pdf[["a", "b"]].max(axis=1)[ok]})
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        both = candidates.join(texts.select(F.col("no").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("no").alias("b"), F.col("text").alias("tb")), "b")
+        return both.mapInPandas(compare, "a long, b long")
+
+    star, linked, looked_up = None, None, texts.withColumn("root", F.col("no"))
+    if stars:
+        star = materialize(verified(_representatives(spark.read.schema(schema).parquet(asks))), "star")
+        root = connected_components(star).withColumnRenamed("node", "no")
+        linked = f"{shared_dir(spark)}/linked-{uuid.uuid4().hex}"
+
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf.assign(block=_block_of(pdf["no"].to_numpy(), blocks))
+
+        root.mapInPandas(placed, "no long, root long, block int").write.partitionBy("block").parquet(linked)
+        looked_up = texts.join(spark.read.schema("no long, root long, block int").parquet(linked).select("no", "root"), "no", "left").select("no", "text", F.coalesce("root", "no").alias("root"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -242,11 +299,11 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, blo
                 held = sent.value[slot(key, slots)] > 1
                 of, at = of[held], at[held]
                 order = np.argsort(of, kind="stable")
-                parts.append((of[order], at[order].astype(np.int32), part["no"].to_numpy(), size))
+                parts.append((of[order], at[order].astype(np.int32), part["no"].to_numpy(), size, part["root"].to_numpy()))
             for b in range(blocks):
-                block = _block(f"{asks}/block={b}")
-                for of, at, no, size in parts:
-                    for x, y in block.meetings(of, at, no, size, t):
+                block = _block(asks, linked, b)
+                for of, at, no, size, root in parts:
+                    for x, y in block.meetings(of, at, no, size, root, t):
                         yield pd.DataFrame({"a": x, "b": y})
 
         for pdf in batches:
@@ -257,17 +314,34 @@ def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, blo
             yield from flush()
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // SCAN_SETS))
-    candidates = materialize(sets.select("no", "text").repartition(tasks).mapInPandas(scan, "a long, b long"), "candidates")
+    candidates = materialize(looked_up.repartition(tasks).mapInPandas(scan, "a long, b long"), "candidates")
+    return verified(candidates) if star is None else star.union(verified(candidates))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut = lru_cache(1000)(lambda x: shingles(x, k))  # rows come ordered by b
-        for pdf in batches:
-            ok = [jaccard(cut(x), cut(y)) >= t for x, y in zip(pdf["ta"], pdf["tb"])]
-            yield pd.DataFrame({"a": pdf[["a", "b"]].min(axis=1)[ok], "b": pdf[["a", "b"]].max(axis=1)[ok]})
 
-    texts = sets.select("no", "text")
-    both = candidates.join(texts.select(F.col("no").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("no").alias("b"), F.col("text").alias("tb")), "b")
-    return both.mapInPandas(compare, "a long, b long")
+def _representatives(asks: DataFrame) -> DataFrame:
+    """(a, b): every set with the one representative it shares most of its first asked keys with,
+    where it shares two of them; a key's representative is the smallest number that asks with it."""
+    keyed = asks.select("no", F.explode("first").alias("key"))
+    rep = keyed.groupBy("key").agg(F.min("no").alias("rep"), F.max("no").alias("last")).where("rep < last").select("key", "rep")
+    met = keyed.join(rep, "key").where("rep < no").groupBy("no", "rep").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    return met.groupBy("no").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("a")).select("a", F.col("no").alias("b"))
+
+
+def similar_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(a, b): the numbers of all texts whose distinct ``k``-word shingles have Jaccard
+    similarity ``t`` or more, a < b.
+
+    ``sets`` has (no: bigint, text: string) and is read several times (a written table). Texts of
+    fewer than ``k`` words are similar to none. Numbers must not repeat; texts may, but copies
+    are better taken out first.
+    """
+    return _links(sets, t, k, block_sets, stars=False)
+
+
+def connecting_pairs(sets: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """(a, b): similar texts as in `similar_pairs`, but only so many that they connect the same
+    texts: of a group of near copies a star to their representative, and what links groups."""
+    return _links(sets, t, k, block_sets, stars=True).distinct()
 
 
 def distinct_sets(texts: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -301,7 +375,7 @@ def near_duplicate_groups(texts: DataFrame, t: Fraction = Fraction(1, 2), k: int
     ``k`` words, are in no group; a repeated number counts once; an empty table gives no rows.
     """
     member, sets = distinct_sets(texts, k)
-    comp = connected_components(similar_pairs(sets, t, k))
+    comp = connected_components(connecting_pairs(sets, t, k))
     grouped = materialize(member.join(comp, member["rep"] == comp["node"], "left").select("no", F.coalesce("root", "rep").alias("group_no")), "grouped")
     several = grouped.groupBy("group_no").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_no")
     return grouped.join(several, "group_no").select("no", "group_no")

@@ -4,7 +4,7 @@ from fractions import Fraction
 import pytest
 
 from quillmill.llm import neardup
-from quillmill.llm.neardup import near_duplicate_groups, similar_pairs
+from quillmill.llm.neardup import connecting_pairs, near_duplicate_groups, similar_pairs
 from quillmill.llm.prompts import jaccard, shingles
 
 
@@ -27,7 +27,16 @@ def corpus(seed, n):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "t", "k", "dear"), [(1, Fraction(1, 2), 3, 300), (2, Fraction(4, 5), 5, 300), (3, Fraction(1, 2), 2, 4), (4, Fraction(1, 3), 3, 2)])
+def components(pairs):
+    up = {}
+    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(up)}
+
+
+@pytest.mark.parametrize(("seed", "t", "k", "dear"), [(1, Fraction(1, 2), 3, 300), (2, Fraction(4, 5), 5, 300), (3, Fraction(1, 2), 2, 4), (4, Fraction(1, 3), 3, 2), (5, Fraction(1, 5), 2, 300)])
 def test_every_similar_pair_is_found(spark, monkeypatch, seed, t, k, dear):
     monkeypatch.setattr(neardup, "DEAR", dear)
     texts = corpus(seed, 160) + [" ".join(f"w{i}" for i in range(1200)), " ".join(f"w{i}" for i in range(600)), "one", ""]
@@ -36,6 +45,8 @@ def test_every_similar_pair_is_found(spark, monkeypatch, seed, t, k, dear):
     df = spark.createDataFrame(sets, "no long, text string").repartition(3)
     got = [tuple(r) for r in similar_pairs(df, t, k, 40).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+    some = [tuple(r) for r in connecting_pairs(df, t, k, 40).collect()]
+    assert set(some) <= want and components(some) == components(want)
 
 
 def test_groups_with_copies_nulls_and_repeats(spark):
@@ -50,3 +61,12 @@ def test_a_third_of_all_rows_are_copies(spark):
     rows = [(k, "one text that a third of all rows repeat word for word") for k in range(300)] + [(1000 + k, f"text {k} of its own with number {k * 7} and {k * 11}") for k in range(600)]
     got = near_duplicate_groups(spark.createDataFrame(rows, "no long, text string"))
     assert got.where("group_no = 0").count() == 300
+
+
+def test_many_different_near_copies_take_a_star_of_pairs(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:25] + [f"own{k}"] + base[25:])) for k in range(400)] + [(1000 + k, " ".join(f"v{k * 97 % 311}x{i}" for i in range(20))) for k in range(600)]
+    df = spark.createDataFrame(rows, "no long, text string")
+    pairs = connecting_pairs(df, block_sets=300)
+    assert pairs.count() < 1000  # of 79,800 similar pairs
+    assert near_duplicate_groups(df).where("group_no = 0").count() == 400
