@@ -4,7 +4,7 @@ The evaluation texts are normalised and sharded; the word runs of each shard mak
 automaton that every training text is scanned with. A text needs only so many of its runs as
 patterns that a partner with the wanted similarity must hold some of them, and the rarest are
 taken. The runs found in a training text are merged, per evaluation record, into coverage; a pair
-whose coverage reaches what the similarity demands is compared exactly.
+whose coverage reaches what the similarity demands is compared exactly, over all its runs.
 
 Copies are one text on either side until the end. The driver holds one shard of evaluation texts
 at a time, of bounded size; training texts stay on the executors.
@@ -62,6 +62,12 @@ def merged(places: list[int], k: int = 3) -> int:
     return total
 
 
+def coverage(text: str, runs: set[tuple[str, ...]], k: int = 3) -> int:
+    """Words of a text that lie in one of the runs of ``k`` words."""
+    w = words(text)
+    return merged([i for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in runs], k)
+
+
 class Shard:
     """Automaton over the patterns of some evaluation texts, and what each of them demands."""
 
@@ -87,7 +93,8 @@ class Shard:
         self.t = t
 
     def partners(self, text: str, size: int) -> list[tuple[int, int]]:
-        """(evaluation number, covered words) of the records a normalised text may be similar to."""
+        """(evaluation number, covered words) of the records a normalised text may be similar to: h of
+        the asked runs, each at a place of its own, cover at least h + 2 words."""
         if not len(self.record):
             return []
         found = np.fromiter({n for _, n in self.automaton.iter(text)}, np.int64)
@@ -101,8 +108,13 @@ class Shard:
         some, hits = some[enough], hits[enough]
         a, num, den = self.size[some], self.t.numerator, self.t.denominator
         shared = -(-num * (a + size) // (num + den))
-        ok = (hits >= self.asked[some] - (a - shared)) & (a * num <= size * den) & (size * num <= a * den)
-        return [(int(self.numbers[e]), merged(self.place[at[met == e]].tolist())) for e in some[ok]]
+        ok = (a * num <= size * den) & (size * num <= a * den)
+        out = []
+        for e, demanded in zip(some[ok], (self.asked[some] - (a - shared))[ok]):
+            covered = merged(self.place[at[met == e]].tolist())
+            if covered >= demanded + 2:
+                out.append((int(self.numbers[e]), covered))
+        return out
 
 
 _BUILT: dict[str, Shard] = {}
@@ -124,8 +136,8 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
 
     Both tables have (no: bigint, text: string, size: int) as `distinct_sets` gives them (words
     with single blanks, number of shingles), no number twice, and are read several times.
-    ``covered`` is how many words of the evaluation text its found patterns cover. Texts of fewer
-    than three words are similar to none; empty tables give no rows.
+    ``covered`` is how many words of the evaluation text lie in runs that the training text has
+    too. Texts of fewer than three words are similar to none; empty tables give no rows.
     """
     spark = train.sparkSession
     sc = spark.sparkContext
@@ -156,14 +168,22 @@ def cross_pairs(train: DataFrame, evaluation: DataFrame, t: Fraction = Fraction(
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = lru_cache(1000)(shingles)  # rows come ordered by eval
         for pdf in batches:
-            sim = [jaccard(cut(x), cut(y)) for x, y in zip(pdf["ta"], pdf["tb"])]
-            pdf = pdf.assign(similarity=sim)
-            yield pdf[pdf["similarity"] >= float(t)][["train", "eval", "similarity", "covered"]]
+            pdf = pdf.assign(similarity=[jaccard(cut(x), cut(y)) for x, y in zip(pdf["ta"], pdf["tb"])])
+            pdf = pdf[pdf["similarity"] >= float(t)]
+            yield pdf.assign(covered=[coverage(y, cut(x)) for x, y in zip(pdf["ta"], pdf["tb"])])[["train", "eval", "similarity", "covered"]]
 
-    both = found.join(train.select(F.col("no").alias("train"), F.col("text").alias("ta")), "train").join(evaluation.select(F.col("no").alias("eval"), F.col("text").alias("tb")), "eval")
+    both = found.select("train", "eval").join(train.select(F.col("no").alias("train"), F.col("text").alias("ta")), "train").join(evaluation.select(F.col("no").alias("eval"), F.col("text").alias("tb")), "eval")
     return both.mapInPandas(compare, "train long, eval long, similarity double, covered int")
 
 
+def cross_split_classes(records: DataFrame, t: Fraction = Fraction(1, 2), shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Similar texts of both sides, and who bears them: (train, eval, similarity, covered) between
+    classes of equal texts, and (no, rep) of the training and of the evaluation records."""
+    train_member, train = distinct_sets(records.where("split = 'train'"))
+    eval_member, evaluation = distinct_sets(records.where("split in ('val', 'test')"))
+    return materialize(cross_pairs(train, evaluation, t, shard_words), "pairs"), train_member, eval_member
+
+
 def cross_split_pairs(records: DataFrame, t: Fraction = Fraction(1, 2), shard_words: int = SHARD_WORDS) -> DataFrame:
     """(train_no, eval_no, similarity): every training record with every evaluation record it is a
     copy or near copy of.
@@ -172,9 +192,7 @@ def cross_split_pairs(records: DataFrame, t: Fraction = Fraction(1, 2), shard_wo
     train is training, other and null splits are neither. A repeated number counts once a split.
     Null numbers and texts, and texts of fewer than three words, are similar to none.
     """
-    train_member, train = distinct_sets(records.where("split = 'train'"))
-    eval_member, evaluation = distinct_sets(records.where("split in ('val', 'test')"))
-    pairs = materialize(cross_pairs(train, evaluation, t, shard_words), "pairs")
+    pairs, train_member, eval_member = cross_split_classes(records, t, shard_words)
     return (
         pairs.join(train_member.select(F.col("rep").alias("train"), F.col("no").alias("train_no")), "train")
         .join(eval_member.select(F.col("rep").alias("eval"), F.col("no").alias("eval_no")), "eval")
@@ -182,6 +200,16 @@ def cross_split_pairs(records: DataFrame, t: Fraction = Fraction(1, 2), shard_wo
     )
 
 
+def overlapping_records(records: DataFrame, t: Fraction = Fraction(1, 2), shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(no, pairs, covered) of every evaluation record with a partner: how many training records
+    are similar to it, and the most words of it that one of them covers. Copies are counted by
+    class, never written out as pairs. ``records`` as in `cross_split_pairs`."""
+    pairs, train_member, eval_member = cross_split_classes(records, t, shard_words)
+    copies = train_member.groupBy(F.col("rep").alias("train")).agg(F.count(F.lit(1)).alias("copies"))
+    per = pairs.join(copies, "train").groupBy("eval").agg(F.sum("copies").alias("pairs"), F.max("covered").alias("covered"))
+    return eval_member.select("no", F.col("rep").alias("eval")).join(per, "eval").select("no", "pairs", "covered")
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("sft_messages")
     return table(spark, d, "sft_task").select(F.col("task_no").alias("no"), "split", F.concat_ws(" ", scene_of(m), question_of(m)).alias("text"))
@@ -198,7 +226,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Overlaps per evaluation split and source dataset: records, records with a partner, pairs."""
     tasks = table(spark, d, "sft_task").where("split in ('val', 'test')").groupBy("task_no").agg(F.min("split").alias("split"), F.min(dataset_name(F.col("source_dataset"))).alias("source_dataset"))
-    per = cross_split_pairs(_records(spark, d)).groupBy(F.col("eval_no").alias("task_no")).agg(F.count(F.lit(1)).alias("pairs"))
+    per = overlapping_records(_records(spark, d)).select(F.col("no").alias("task_no"), "pairs")
     return tasks.join(per, "task_no", "left").groupBy("split", "source_dataset").agg(
         F.count(F.lit(1)).alias("records"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs")
     )
+
+
+@register("p2_coverage", sql.P2_COVERAGE)
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Every val or test task with a partner: how many, and the most words one of them covers."""
+    return overlapping_records(_records(spark, d)).select(F.col("no").alias("task_no"), "pairs", "covered")

@@ -1,10 +1,13 @@
 """Template residue, filler, error pages and script notices in place of content (problem 9).
 
-Labelled exemplars of residue are kept in an inverted index from token to exemplar. A text is
-cut into passage windows (lines and sentences, and every bracketed span as a window of its own);
-the rarest tokens of a window retrieve exemplars, and the TF-IDF weight the two share is set
-against the weight of each: a window is residue if it is nearly all exemplar and holds most of
-it. Token weights are document frequencies over all documents.
+Labelled exemplars of residue are kept in an inverted index from token to exemplar. A text is cut
+into passage windows: lines and sentences, their parts, and every bracketed span or bare note. The
+tokens of a sentence are its words; those of a span are its brackets and what kind of content they
+hold (a field of a template, a word, a shouted note, ...), so that an exemplar stands for its form
+with any name in it. The rarest tokens of a window retrieve exemplars; TF-IDF containment decides:
+a window is residue if a phrase covers nearly all of its weight and is itself mostly there, or if
+nearly all of its weight lies in a passage of filler. Token weights are document frequencies over
+all documents. Spans directly in quotes are talked about and make no window.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from quillmill.session import table
 
 #: Least share of a window's weight that an exemplar covers, and of the exemplar's that the window holds.
 WINDOW_SHARE, EXEMPLAR_SHARE = 0.75, 0.6
+#: Least share of a window's weight that lies in a passage of filler, and words of such a window.
+PASSAGE_SHARE, PASSAGE_WORDS = 0.8, 3
+#: Largest share of documents in which the rarest word of a window of filler occurs.
+PASSAGE_RARE = 0.05
 
 #: Labelled exemplars, by kind.
 EXEMPLARS = {
@@ -65,6 +72,7 @@ EXEMPLARS = {
         "JavaScript is disabled.",
         "Turn it on and reload.",
         "JavaScript is required to view this page.",
+        "Please enable JavaScript to view this page.",
         "Checking your browser before opening the page",
         "scripts and cookies must be allowed.",
         "Scripts are blocked; the dialogue cannot be shown.",
@@ -83,14 +91,24 @@ EXEMPLARS = {
         "Insert text here.",
         "This is placeholder text.",
     ],
-}
-#: Words of filler in mock Latin; a window is filler if it is made of them.
-MOCK_LATIN = (
+    "placeholder": [
+        "{{question}}", "{{word}}", "{{NAME}}", "${question}", "${word}", "${NAME}", "%(question)s", "%(word)s", "%(NAME)s", "%(question)d", "%(word)d", "%(NAME)d",
+        "__question__", "__word__", "__NAME__", "@@question@@", "@@word@@", "@@NAME@@", "@@1@@", "<<question>>", "<<word>>", "<<NAME>>", "[[question]]", "[[word]]", "[[NAME]]",
+        "{question}", "{word}", "{NAME}", "{0}", "[question]", "[NAME]", "<question>", "<NAME>", "***NAME***", "%s", "%d", "TODO", "TBD", "FIXME", "XXX",
+    ],
+}
+#: Passages of filler; a window is filler if it is made of the words of one.
+PASSAGES = [
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
     "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in "
     "reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa "
-    "qui officia deserunt mollit anim id est laborum pariat sintra mirabu quondam turpis consequa feru obita vestra nonest"
-).split()
+    "qui officia deserunt mollit anim id est laborum pariat sintra mirabu quondam turpis consequa feru obita vestra nonest",
+    "bla blah blub und and et y yada",
+    "asdf qwer jklq jkl zxcv uiop hjkl qwerty asdfgh",
+    "x xx xxx xxxx xxxxx xxxxxx xxxxxxx xxxxxxxx",
+    "test testing 123 1234",
+    "foo bar baz qux quux",
+]
 #: Names that fields of a template go by, and markup that is none.
 FIELDS = (
     "context question answer domain listener speaker speaker_name section section_title n_turns reference reference_answer item "
@@ -101,37 +119,75 @@ MARKUP = (
     "li link main meta nav ol p pre s script section_tag small span strong style sub sup table tbody td th thead tr u ul think"
 ).split()
 
-_NAME = r"[A-Za-z_][\w.]*"
-_LOUD = r"(?:[A-Z][A-Z_]+(?: [A-Z][A-Z_]+)*|TODO:[^\[\]{}<>\n]{0,60}|(?:INSERT|YOUR|ADD|Insert|Your|Add) [^\[\]{}<>\n]{1,60})"
-#: Bracketed spans: (what a template engine takes for a field, whatever its name), (what is one only by its name).
-_SURE = re.compile(
-    rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|%\({_NAME}\)[sd]|(?<![\w%])%[sd]\b|(?<!\w)__[A-Za-z][\w.]*?__(?!\w)|@@\w[\w.]*@@|<<\s*{_NAME}\s*>>|\[\[\s*{_NAME}\s*\]\]"
-    rf"|(?<![\w\\}}])\{{(?:{_NAME}|\d|{_LOUD})\}}|\*\*\*\s*{_LOUD}\s*\*\*\*|\[\[?\s*{_LOUD}\s*\]\]?|<{_LOUD}>"
-)
-_NAMED = re.compile(rf"\[({_NAME})\]|<({_NAME})>")
-_BARE = re.compile(r"(?m)^\s*(?:[A-Za-z]+:\s*)?(?:TODO|TBD|FIXME|XXX)\W*$")
+_IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*")
+_LOUD = re.compile(r"[A-Z][A-Z_]+(?: [A-Z][A-Z_]+)*|TODO:.*|(?:INSERT|YOUR|ADD|Insert|Your|Add) .+")
+#: Brackets of template fields, longer ones first.
+BRACKETS = [("{{", "}}"), ("${", "}"), ("%(", ")s"), ("%(", ")d"), ("<<", ">>"), ("[[", "]]"), ("***", "***"), ("@@", "@@"), ("__", "__"), ("{", "}"), ("[", "]"), ("<", ">")]
+_SPAN = re.compile("|".join(rf"{re.escape(o)}[ \t]*([^\[\]{{}}<>\n]{{1,60}}?)[ \t]*{re.escape(c)}" for o, c in BRACKETS) + r"|%[sd]\b")
+_FIRST = ["{", "[", "<", "%", "@", "*", "__"]
+_OPENS = re.compile(r"[{\[<$%@*]|__")
+_BARE = re.compile(r"(?m)^[ \t]*(?:[A-Za-z]+:[ \t]*)?(TODO|TBD|FIXME|XXX)\W*$")
 _QUOTES = {"`": "`", '"': '"', "'": "'", "“": "”", "„": "“", "«": "»", "‘": "’"}
-_SPLIT = re.compile(r"<[^<>\n]{1,40}>|\n+|(?<=[.!?;])\s+|\.{3}|…")
-
-
-def _quoted(text: str, start: int, end: int) -> bool:
-    return start > 0 and end < len(text) and _QUOTES.get(text[start - 1]) == text[end]
-
-
-def placeholders(text: str) -> list[str]:
-    """Unfilled fields of a template, those directly in quotes left out."""
-    out = [m.group(0) for m in _SURE.finditer(text) if not _quoted(text, m.start(), m.end())]
-    for m in _NAMED.finditer(text):
-        name = m.group(1) or m.group(2)
-        known = name in FIELDS or ("_" in name.strip("_") or "." in name.strip(".")) and name == name.lower()
-        if known and name not in MARKUP and not _quoted(text, m.start(), m.end()):
-            out.append(m.group(0))
-    return out + [m.group(0) for m in _BARE.finditer(text)]
+_NOTE = re.compile(r"TODO|TBD|FIXME|XXX")
+#: Words, markup, and what ends a sentence or a part of one.
+_TOKEN = re.compile(r"[^\W_]+|<[^<>\n]{1,40}>|\n|\.{3}|…|[.!?;](?=\s)")
+_ENDS, _PART_ENDS = frozenset("\n.!?"), frozenset(["...", "…", ";"])
+
+
+def _content(inner: str, bracket: str) -> str:
+    """Kind of what a bracketed span holds."""
+    if _LOUD.fullmatch(inner):
+        return "loud"
+    if inner.isdigit():
+        return "digits"
+    if not _IDENTIFIER.fullmatch(inner):
+        return "text"
+    if inner in MARKUP and bracket in ("<", "["):
+        return "markup"
+    return "field" if inner in FIELDS or ("_" in inner.strip("_") or "." in inner.strip(".")) and inner == inner.lower() else "word"
+
+
+def spans(text: str) -> list[list[str]]:
+    """Tokens of every bracketed span, format directive and bare note of a text, quoted ones left out."""
+    out, last = [], 0
+    for at in _OPENS.finditer(text) if any(c in text for c in _FIRST) else ():
+        start = at.start()
+        m = _SPAN.match(text, start) if start >= last else None
+        before = text[start - 1] if start else " "
+        if m is None or at.group() == "__" and (before.isalnum() or before == "_"):
+            continue
+        last = end = m.end()
+        if start and end < len(text) and _QUOTES.get(before) == text[end]:
+            continue
+        if not m.lastindex:
+            if not (before.isalnum() or before in "%_"):
+                out.append([f"span {m.group()}"])
+            continue
+        o, c = BRACKETS[m.lastindex - 1]
+        if not (o == "{" and (before.isalnum() or before in "_\\}") or o == "__" and text[end : end + 1].isalnum()):
+            out.append([f"span {o}", f"span {_content(m.group(m.lastindex), o)}", f"span {c}"])
+    return out + ([["span line", f"span {m.group(1)}"] for m in _BARE.finditer(text)] if _NOTE.search(text) else [])
 
 
 def windows(text: str) -> list[list[str]]:
-    """Words of every line or sentence of a text, markup aside."""
-    return [w for part in _SPLIT.split(text) if part and (w := words(part))]
+    """Words of every line or sentence of a text, markup aside, and of the parts of each."""
+    tokens = _TOKEN.findall(text.lower())
+    out: list[list[str]] = []
+    sentence: list[str] = []
+    lo, parts = 0, False
+    for i in [*(i for i, x in enumerate(tokens) if x in _ENDS or x in _PART_ENDS or x[0] == "<"), len(tokens)]:
+        part = tokens[lo:i]
+        lo = i + 1
+        if i < len(tokens) and tokens[i] in _PART_ENDS:
+            parts = True
+        if parts and part:
+            out.append(part)
+        sentence = sentence + part if sentence else part
+        if i == len(tokens) or tokens[i] not in _PART_ENDS:
+            if sentence and not (parts and len(sentence) == len(part)):
+                out.append(sentence)
+            sentence, parts = [], False
+    return out
 
 
 class Exemplars:
@@ -139,47 +195,67 @@ class Exemplars:
 
     def __init__(self, weight: dict[str, float], unknown: float) -> None:
         self.weight, self.unknown = weight, unknown
-        self.entries: list[tuple[str, Counter, float]] = []
+        self.rare = min(math.log(1 / PASSAGE_RARE) + 1, unknown)  # a window of filler has a word in so few documents
+        self.entries: list[tuple[str, Counter, float]] = []  # kind, tokens, weight (0: a passage)
         self.index: dict[str, list[int]] = {}
-        latin = frozenset(MOCK_LATIN)
-        self.latin = latin
-        for kind, texts in EXEMPLARS.items():
-            for t in texts:
-                c = Counter(words(t))
-                total = sum(self._w(x) * n for x, n in c.items())
-                for x in c:
-                    self.index.setdefault(x, []).append(len(self.entries))
-                self.entries.append((kind, c, total))
+        #: Words of which a text with residue in its sentences holds at least one.
+        self.marks: set[str] = set()
+        for kind, tokens, passage in labelled():
+            c = Counter(tokens)
+            for x in c:
+                self.index.setdefault(x, []).append(len(self.entries))
+            total = sum(self._w(x) * n for x, n in c.items())
+            self.entries.append((kind, c, 0.0 if passage else total))
+            self.marks |= {x for x in c if self._w(x) >= self.rare} if passage else self._needed(c, total)
 
     def _w(self, token: str) -> float:
         return self.weight.get(token, self.unknown)
 
+    def _needed(self, tokens: Counter, total: float) -> set[str]:
+        """Heaviest tokens without which too little of an exemplar is left to be found."""
+        out, left = set(), total
+        for x in sorted(tokens, key=self._w, reverse=True):
+            if left < EXEMPLAR_SHARE * total:
+                break
+            out.add(x)
+            left -= self._w(x) * tokens[x]
+        return out
+
     def kind_of(self, window: list[str]) -> str | None:
         """Kind of the residue a window consists of; null if it is content."""
-        if len(window) >= 3 and sum(x in self.latin for x in window) >= 0.8 * len(window):
-            return "filler"
-        c = Counter(window)
-        known = [x for x in c if x in self.index]
-        if 2 * len(known) < len(c):
+        index = self.index
+        if 2 * sum(x in index for x in window) < len(window):
             return None
+        c = Counter(window)
+        known = [x for x in c if x in index]
         mass = sum(self._w(x) * n for x, n in c.items())
         asked = sorted(known, key=self._w, reverse=True)[:3]
-        for e in {e for x in asked for e in self.index[x]}:
+        for e in sorted({e for x in asked for e in index[x]}):
             kind, other, total = self.entries[e]
-            shared = sum(self._w(x) * min(n, other[x]) for x, n in c.items() if x in other)
-            if shared >= WINDOW_SHARE * mass and shared >= EXEMPLAR_SHARE * total:
+            if total:
+                shared = sum(self._w(x) * min(n, other[x]) for x, n in c.items() if x in other)
+                if shared >= WINDOW_SHARE * mass and shared >= EXEMPLAR_SHARE * total:
+                    return kind
+            elif len(window) >= PASSAGE_WORDS and self._w(asked[0]) >= self.rare and sum(self._w(x) * n for x, n in c.items() if x in other) >= PASSAGE_SHARE * mass:
                 return kind
         return None
 
     def kinds(self, text: str) -> set[str]:
         """Every kind of residue in a text."""
-        out = {k for w in windows(text) if (k := self.kind_of(w))}
-        if placeholders(text):
-            out.add("placeholder")
-        return out
+        asked = spans(text) if self.marks.isdisjoint(words(text)) else windows(text) + spans(text)
+        return {k for w in asked if (k := self.kind_of(w))}
+
+
+def labelled() -> Iterator[tuple[str, list[str], bool]]:
+    """(kind, tokens, whether it is a passage) of every exemplar."""
+    for kind, texts in EXEMPLARS.items():
+        for t in texts:
+            yield kind, spans(t)[0] if kind == "placeholder" else words(t), False
+    for t in PASSAGES:
+        yield "filler", words(t), True
 
 
-_VOCABULARY = frozenset(w for ts in EXEMPLARS.values() for t in ts for w in words(t))
+_VOCABULARY = frozenset(w for _, tokens, _ in labelled() for w in tokens)
 
 
 def _vocabulary_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,7 +263,9 @@ def _vocabulary_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     for pdf in batches:
         for t in pdf["text"]:
             n += 1
-            df.update(_VOCABULARY.intersection(words(t)))
+            if not t:
+                continue
+            df.update(_VOCABULARY.intersection(words(t)) | _VOCABULARY.intersection(x for w in spans(t) for x in w))
     yield pd.DataFrame([("", n), *df.items()], columns=["token", "n"])
 
 

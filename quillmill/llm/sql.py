@@ -26,6 +26,12 @@ P2_OVERLAP = (
 f as (select b as task_no, count(*) as pairs from q group by 1)
 select split, source_dataset, count(*) as records, count(pairs) as overlapping, coalesce(sum(pairs), 0)::bigint as pairs from k left join f using (task_no) group by 1, 2"""
 )
+P2_COVERAGE = (
+    _P2
+    + """, r as (select distinct no, side, i, w[i:i+2] as g from (select no, side, w, unnest(range(1, len(w) - 1)) as i from w where len(w) > 2)),
+c as (select a, b, count(distinct p) as covered from (select q.a, q.b, unnest([r.i, r.i + 1, r.i + 2]) as p from q join r on r.no = q.b and r.side = 'e' join s on s.no = q.a and s.side = 't' and s.g = r.g) group by 1, 2)
+select b as task_no, count(*) as pairs, max(covered) as covered from c group by 1"""
+)
 
 P5 = (
     f"with recursive {_TASKS}, x as (select task_no as no, '' as side, coalesce({_SCENE.format(u='tu')}, c) as text from t), "

@@ -1,6 +1,6 @@
 import pytest
 
-from quillmill.llm.residue import Exemplars, placeholders, residue, windows
+from quillmill.llm.residue import Exemplars, residue, spans, windows
 
 EX = Exemplars({}, 1.0)
 
@@ -28,6 +28,8 @@ CASES = {
     "Out of 40 answers, 15% signalled irony and 5% simply repeated the scene.": set(),
     "Access to the office was denied to Ben, who took it as a joke.": set(),
     "Como la sopa seguía cerrada, todo se aplazó.": set(),
+    "Anna said the test was long and Ben said 1 2 3 before the walk.": set(),
+    "Blah is what Ben said about the rope and the bench.": set(),
     "": set(),
 }
 
@@ -39,7 +41,25 @@ def test_kinds(text):
 
 def test_windows_and_spans():
     assert windows("One two. Three\n<p>four</p>") == [["one", "two"], ["three"], ["four"]]
-    assert placeholders("a [[ item ]] b {{x.y}} c <html> d") == ["[[ item ]]", "{{x.y}}"]
+    assert windows("One; two... three. Four") == [["one"], ["two"], ["three"], ["one", "two", "three"], ["four"]]
+    assert spans("a [[ item ]] b {{x.y}} c <html> `{d}` \\boxed{e}") == [["span [[", "span field", "span ]]"], ["span {{", "span field", "span }}"], ["span <", "span markup", "span >"]]
+    assert spans("a __b__ c_d__e__ 5%s 5 %s\nNote: TODO\nnot a TODO list") == [["span __", "span word", "span __"], ["span %s"], ["span line", "span TODO"]]
+
+
+#: Residue in none of the exemplars.
+HELD_OUT = {
+    "Dear {{customer_name}}, thank you.": "placeholder", "Dear %(first_name)s, thank you.": "placeholder", "See [[chapter]] and ${total}.": "placeholder", "The <house_number> rope.": "placeholder",
+    "He met [INSERT LOGO HERE] there.": "placeholder", "Ask {YOUR CITY} first.": "placeholder", "Name: TBD": "placeholder", "@@headline@@": "placeholder",
+    "Error 404: page not found": "error", "502 bad gateway error": "error", "Something went wrong, please try again": "error", "Your session has expired.": "error",
+    "You need to enable JavaScript to view this page": "script",
+    "Dolor ipsum et amet sed lorem.": "filler", "blah blah and blah": "filler", "asdf asdf qwer": "filler", "xxx xx xxxx": "filler", "Insert your text here": "filler",
+}
+
+
+@pytest.mark.parametrize("text", HELD_OUT)
+def test_unseen_residue(text):
+    usual = Exemplars({w: 1.5 for w in "you your to this that the a in is are has be and or it by view need please error again page".split()}, 9.0)
+    assert usual.kinds("Anna met Ben near the shed.\n" + text) == {HELD_OUT[text]}
 
 
 def test_table(spark):
