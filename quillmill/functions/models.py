@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.functions import answers
-from quillmill.functions.text import CLOSE_TAGS, SPACES, think_text, token_count_ws, ustrip
+from quillmill.functions.text import CLOSE_PATTERN, CLOSE_TAGS, SPACES, think_text, token_count_ws, ustrip
 
 #: Parts of a model's name that tell its family, and the family's closing tag.
 FAMILIES = {"ministral": "[/think]", "mistral-3": "[/think]", "mistral3": "[/think]", "gemma-4": "<channel|>", "gemma4": "<channel|>"}
@@ -31,14 +31,17 @@ def close_tag(model: str | None) -> str:
     return next((tag for part, tag in FAMILIES.items() if part in name), "</think>")
 
 
-def stop_text(text: str | None, model: str | None) -> str:
+#: Fixed value: what ends a model's thinking early unless told otherwise.
+STOP = "\n\nConsidering the limited time by the user, I have to give the solution based on the thinking directly now.\n</think>\n\n"
+
+
+def stop_text(text: str | None, model: str | None, default: str = STOP) -> str:
     """Text that ends a model's thinking early, with the family's closing tag in place of any other."""
     tag = close_tag(model)
-    if not (text or "").strip():
-        return f"\n\nTime is short, so the answer follows from the thinking so far.\n{tag}\n\n"
+    out = text if (text or "").strip() else default
     for t in CLOSE_TAGS:
-        text = text.replace(t, "\0")
-    return text.replace("\0", tag)
+        out = out.replace(t, "\0")
+    return out.replace("\0", tag)
 
 
 def through_close(c: Column, tag: str) -> Column:
@@ -92,3 +95,11 @@ def after_last(ids: Column, token: int) -> Column:
 def loose_pass(word: Column) -> Column:
     """Whether a judgement word means a pass."""
     return F.coalesce(F.lower(ustrip(word)).isin("yes", "pass", "correct", "true", "1"), F.lit(False))
+
+
+def content_of(ids: Column, token: int, text: Column) -> Column:
+    """(ids, text) behind the thinking: by the last closing id; where no id closes it, the text
+    behind its first closing tag, or all of it."""
+    closed = F.array_position(ids, token) > 0
+    after = F.regexp_replace(text, r"(?s)^.*?(?:" + CLOSE_PATTERN + ")", "")
+    return F.struct(F.when(closed, after_last(ids, token)).otherwise(ids).alias("ids"), ustrip(F.when(~closed & text.rlike(CLOSE_PATTERN), after).otherwise(text)).alias("text"))

@@ -65,3 +65,25 @@ def mean_std(c: Column) -> tuple[Column, Column]:
 def rate(flag: Column) -> Column:
     """Percentage of rows with the flag; null and false count against it."""
     return 100.0 * F.avg(F.when(flag, 1.0).otherwise(0.0))
+
+
+def total_reward(form: Column, answer: Column, parts: list[Column], p_yes: Column, p_no: Column, threshold: Column) -> Column:
+    """Reward of a solution: its form, plus 1 if the judge says yes by more than the threshold. Only
+    the form counts where no answer came out or a part the judge needs is blank."""
+    judged = answer.isNotNull()
+    for p in parts:
+        judged = judged & (F.coalesce(F.trim(p), F.lit("")) != "")
+    sure = judged & F.coalesce(p_yes - p_no > threshold, F.lit(False))
+    correct = F.when(sure, 1.0).otherwise(0.0)
+    return F.struct((form + correct).alias("score"), sure.cast("int").alias("acc"), form.alias("format_reward"), correct.alias("correctness_reward"))
+
+
+#: Where a model's response holds the alternatives of its first token.
+RESPONSE = "choices array<struct<logprobs: struct<content: array<struct<top_logprobs: array<struct<token: string, logprob: double>>>>>>>"
+
+
+def response_mass(response: Column) -> Column:
+    """Probability of yes and of no in a response written as JSON; 0 and 0 where it is malformed."""
+    r = F.from_json(response, RESPONSE)
+    top = F.get(F.get(r["choices"], F.lit(0))["logprobs"]["content"], F.lit(0))["top_logprobs"]
+    return yes_no_mass(top)

@@ -17,6 +17,8 @@ CLOSE_TAGS = ["</think>", "[/THINK]", "[/think]", "<channel|>"]
 #: A code fence, and the mark of a text cut short.
 FENCE = r"```(?:json)?\s*([\s\S]*?)\s*```"
 CUT_MARK = "\n...[truncated]"
+#: What marks a line of a list.
+LINE_MARKS = [r"^[-*]+", r"^\d+[.)]"]
 CLOSE_PATTERN = r"(?i)</think>|\[/think\]|<channel\|>"
 
 
@@ -37,8 +39,9 @@ def normalize_text(c: Column) -> Column:
 
 def clean_domain(c: Column) -> Column:
     """A domain line without its bullet, number and quotes."""
-    s = F.regexp_replace(text_or_empty(c), "^[-*]+" + SPACE_CLASS + "*", "")
-    s = F.regexp_replace(s, r"^\d+[.)]" + SPACE_CLASS + "*", "")
+    s = text_or_empty(c)
+    for mark in LINE_MARKS:
+        s = F.regexp_replace(s, mark + SPACE_CLASS + "*", "")
     s = F.trim(F.trim(ustrip(s), F.lit('"')), F.lit("'"))
     return ustrip(F.regexp_replace(s, SPACE_CLASS + "+", " "))
 
@@ -48,9 +51,21 @@ def signature(*parts: Column) -> Column:
     return normalize_text(F.concat_ws(" || ", *[F.coalesce(p, F.lit("")) for p in parts]))
 
 
-def canonical_section(c: Column) -> Column:
-    """Lower case, other characters than letters and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+def canonical_section(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Lower case, other characters than letters and digits as one blank; with ``aliases`` the name
+    listed for that, or the stripped section where none is."""
+    key = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    return key if aliases is None else F.coalesce(looked_up(key, aliases), text_or_empty(c))
+
+
+def looked_up(key: Column, values: dict[str, str]) -> Column:
+    """Value of a small map that is known when the plan is made; null where there is none."""
+    return F.get(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(x).alias("x")) for k, x in values.items()]), lambda s: s["k"] == key), F.lit(0))["x"] if values else F.lit(None).cast("string")
+
+
+def section_text(section: Column, inline: Column, described: dict[str, str], default: str = "") -> Column:
+    """Description of a section: its own where it is not blank, else the one listed, else the default."""
+    return F.coalesce(F.nullif(ustrip(inline), F.lit("")), looked_up(section, described), F.lit(default))
 
 
 def strip_suffix(c: Column, suffix: str = "Answer:") -> Column:
@@ -199,3 +214,32 @@ def subsequence_at(ids: Column, pattern: list[int]) -> Column:
     starts = F.when(F.size(ids) >= n, F.sequence(F.lit(1), F.size(ids) - n + 1)).otherwise(F.array().cast("array<int>"))
     hits = F.filter(starts, lambda i: F.slice(ids, i, n) == F.array(*[F.lit(x) for x in pattern]))
     return F.coalesce(F.get(hits, F.lit(0)) - 1, F.lit(-1))
+
+
+def truncate_tokens_ws(c: Column, most: int, side: str = "right") -> Column:
+    """First ``most`` words of a text, or its last with ``side`` left; a text that is short enough as it is."""
+    if side not in ("left", "right"):
+        raise ValueError("side is left or right: the one that is cut")
+    parts = F.split(text_or_empty(c), SPACE_CLASS + "+")
+    kept = F.slice(parts, 1, most) if side == "right" else F.slice(parts, F.greatest(F.size(parts) - most + 1, F.lit(1)), most)
+    return F.when(F.size(parts) > most, F.array_join(kept, " ")).otherwise(c)
+
+
+#: Entries of a list that stand for none.
+NEUTRAL = ["none", "no", "null", "n/a", "na", "[]", "-"]
+
+
+def clean_list(c: Column) -> Column:
+    """Stripped entries of a list of texts, blank ones and those that stand for none left out; null gives none."""
+    kept = F.filter(F.transform(c, ustrip), lambda x: (x != "") & ~F.lower(x).isin(NEUTRAL))
+    return F.coalesce(kept, F.array().cast("array<string>"))
+
+
+def clamped_int(c: Column, low: int, high: int, default: int = 0) -> Column:
+    """A whole number of a text within bounds; the default where it is none."""
+    return F.least(F.greatest(F.coalesce(ustrip(c.cast("string")).try_cast("long"), F.lit(default)), F.lit(low)), F.lit(high))
+
+
+def answer_or_raw(predicted: Column, raw: Column) -> Column:
+    """The predicted answer where it is not blank, else the raw output; stripped."""
+    return F.coalesce(F.nullif(ustrip(predicted), F.lit("")), text_or_empty(raw))

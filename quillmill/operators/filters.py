@@ -33,13 +33,16 @@ def passes_threshold(score: Column, threshold: float, field: str) -> Column:
 
 
 def _worst_first(field: str, pos: str) -> list[Column]:
-    worst = F.col("score").asc() if field in HIGHER_IS_BETTER else F.col("score").desc()
-    return [worst, F.col(pos).asc()]
+    """Drops come from one end of the order by score and position: its start, or its end read backwards."""
+    if field in HIGHER_IS_BETTER:
+        return [F.col("score").asc(), F.col(pos).asc()]
+    return [F.col("score").desc(), F.col(pos).desc()]
 
 
 def drop_bottom(df: DataFrame, percent: float, field: str, pos: str = "pos") -> DataFrame:
-    """Drop the worst ``percent`` of all rows by ``score`` (ties by position): int(percent / 100 * n)
-    rows. The rank is distributed; no window holds the table."""
+    """Drop the worst ``percent`` of all rows by ``score``: int(percent / 100 * n) rows; of equal
+    scores the first go where higher is better, else the last. The rank is distributed; no window
+    holds the table."""
     n = df.count()
     ranked = global_rank(df, _worst_first(field, pos), "_worst")
     return ranked.where(F.col("_worst") > int(percent / 100.0 * n)).drop("_worst")
@@ -56,6 +59,17 @@ def drop_bottom_per_group(df: DataFrame, percent: float, field: str, group: str,
     return j.where(F.col("_place") - F.col("_first") >= F.col("_drop")).drop("_place", "_first", "_drop", "_g")
 
 
+def drop_thresholds(df: DataFrame, percent: float, field: str, group: str, pos: str = "pos") -> DataFrame:
+    """(group, threshold, dropped): score of the best row that `drop_bottom_per_group` drops, only of
+    groups that lose any."""
+    worst = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).select(F.col(group).alias("_g"), F.floor(F.lit(percent / 100.0) * F.col("_n")).alias("_drop")).where("_drop > 0")
+    ranked = global_rank(df.select(group, "score", pos), [F.col(group).asc_nulls_first(), *_worst_first(field, pos)], "_place")
+    first = ranked.groupBy(F.col(group).alias("_f")).agg(F.min("_place").alias("_first"))
+    last = worst.join(first, F.col("_g").eqNullSafe(F.col("_f"))).select("_g", "_drop", (F.col("_first") + F.col("_drop") - 1).alias("_at"))
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_place") == F.col("_at"))
+    return ranked.join(last, same).select(group, F.col("score").alias("threshold"), F.col("_drop").alias("dropped"))
+
+
 def rollout_outcomes(rollouts: DataFrame, row: str, ok: str) -> DataFrame:
     """(row, n_yes, n_total, reason): easy if all rollouts pass, hard if none does."""
     g = rollouts.groupBy(row).agg(F.count_if(F.col(ok)).alias("n_yes"), F.count(F.lit(1)).alias("n_total"))

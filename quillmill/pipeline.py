@@ -90,4 +90,5 @@ def run(spark: SparkSession, config: Config, only: list[str] | None = None, skip
             df = group_split(kept, key, "pos", config.val_ratio, config.seed)
         writers.write_parquet(df, path, config.overwrite, ["split"] if s == "split" else None)
         manifest["rows"][s] = spark.read.parquet(path).count()
+    writers.write_manifest(spark, manifest, f"{config.output}/manifest")
     return manifest

@@ -18,7 +18,7 @@ _PARTS = ("section", "content", "question", "answer")
 
 
 @register("audit_flagship", f"""with {QA}, e as (select *, {_FILLED} as filled from qa),
- r as (select *, row_number() over (partition by section order by -log_odds desc, pos) as k, count(*) over (partition by section) as n
+ r as (select *, row_number() over (partition by section order by -log_odds desc, pos desc) as k, count(*) over (partition by section) as n
    from e where filled and log_odds is not null),
  keep as (select section, pos from r where k > floor(0.5 * n) union all select section, pos from e where filled and log_odds is null)
 select e.section, count(*) as total, count(keep.pos) as kept, count(*) - count(keep.pos) as dropped from e left join keep on keep.pos = e.pos group by e.section""")
@@ -122,6 +122,22 @@ def drop_bottom_per_section(spark: SparkSession, d: str) -> DataFrame:
     return filters.drop_bottom_per_group(s, 50, "log_odds", "section").select("pos", "section")
 
 
+@register("drop_bottom_lower", f"""with {QA}, r as (select pos, section, round(prob_yes, 1) as score, row_number() over (partition by section order by round(prob_yes, 1) desc, pos desc) as k, count(*) over (partition by section) as n
+ from qa where prob_yes is not null) select pos, section, score from r where k > floor(0.25 * n)""")
+def drop_bottom_lower(spark: SparkSession, d: str) -> DataFrame:
+    """Per section, all scored items but the worst quarter by a tied score for which less is better."""
+    s = v.qa(spark, d).where("prob_yes is not null").select("pos", "section", F.round("prob_yes", 1).alias("score"))
+    return filters.drop_bottom_per_group(s, 25, "prob_drop", "section")
+
+
+@register("drop_thresholds", f"""with {QA}, r as (select section, -log_odds as score, row_number() over (partition by section order by -log_odds desc, pos desc) as k, count(*) over (partition by section) as n from qa where log_odds is not null)
+select section, score as threshold, k as dropped from r where k = floor(0.25 * n)""")
+def drop_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    """Score at which each section was cut, where it lost any item."""
+    s = v.qa(spark, d).where("log_odds is not null").select("pos", "section", (-F.col("log_odds")).alias("score"))
+    return filters.drop_thresholds(s, 25, "drop_minus_keep", "section")
+
+
 _NORM = f"regexp_replace(lower({strip_sql('domain_text')}), '\\s+', ' ', 'g')"
 
 

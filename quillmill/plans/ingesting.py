@@ -2,32 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmill.plans import views as v
 from quillmill.plans.registry import register
-from quillmill.session import shared_dir
+from quillmill.plans.views import TASK, strip_sql
+from quillmill.session import scratch_path
 from quillmill.sources import readers, writers
 
+BLANK = f"coalesce({strip_sql('question')}, '') <> ''"
 SCHEMA = T.StructType([T.StructField("task_no", T.LongType()), T.StructField("question", T.StringType())])
 
 
-@register("scan_jsonl")
+@register("scan_jsonl", f"with {TASK} select task_no, question from task")
 def scan_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """Questions written as JSON lines and read back strictly."""
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     writers.write_jsonl(v.tasks(spark, d).select("task_no", "question"), path)
     return readers.jsonl_strict(spark, path, SCHEMA)
 
 
-@register("scan_jsonl_lenient")
+@register("scan_jsonl_lenient", f"with {TASK} select task_no, question from task where task_no % 5 <> 0 and {BLANK}")
 def scan_jsonl_lenient(spark: SparkSession, d: str) -> DataFrame:
     """The same with bad lines in between, skipped."""
-    path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     t = v.tasks(spark, d).select("task_no", "question")
     line = F.when(F.col("task_no") % 5 == 0, F.lit('{"task_no": 1, ')).otherwise(F.to_json(F.struct("task_no", "question")))
     t.select(line.alias("value")).write.text(path)

@@ -120,9 +120,14 @@ def label_normalize_(spark: SparkSession, d: str) -> DataFrame:
     return v.rollouts(spark, d).select("log_no", label_normalize(F.col("judge_token")).alias("label")).where("label is not null")
 
 
-@register("option_index", "select item_id, list_position(list_transform(choices, lambda x: lower(trim(x))), lower(trim(choices[gold_index])))::int as place, coalesce(list_position(list_transform(choices, lambda x: lower(trim(x))), lower(trim(choices[gold_index]))) = gold_index, false) as same from bench_item")
+_GOLD = "case when item_id % 7 = 0 then 'NaN' when item_id % 7 = 1 then 'no such option' else choices[gold_index] end"
+
+
+@register("option_index", f"""with g as (select *, lower(trim({_GOLD})) as gold from bench_item), p as (select *, case when gold not in ('', 'nan', 'none', 'null') then coalesce(list_position(list_transform(choices, lambda x: lower(trim(x))), gold), 0)::int end as place from g)
+select item_id, place, coalesce(place = gold_index, false) as same from p""")
 def option_index_(spark: SparkSession, d: str) -> DataFrame:
-    """Place of the gold option among the choices."""
-    gold = F.element_at("choices", F.col("gold_index"))
+    """Place of the gold option among the choices: null for an invalid one, 0 for one that is none of them."""
+    n = F.col("item_id") % 7
+    gold = F.when(n == 0, "NaN").when(n == 1, "no such option").otherwise(F.element_at("choices", F.col("gold_index")))
     i = option_index(F.col("choices"), F.concat(F.lit(" "), gold), normalize_text)
     return table(spark, d, "bench_item").select("item_id", i.alias("place"), int_eq(i, F.col("gold_index")).alias("same"))

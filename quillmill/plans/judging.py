@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import answers, scores, text
+from quillmill.operators import reshape
 from quillmill.plans import views as v
 from quillmill.plans.registry import register
-from quillmill.plans.views import AUDIT, JUDGE, ROLLOUT, strip_sql
-
-JUDGE_SCHEMA = "judgment string, verdict string, confidence string, confidence_score string, explanation string, feedback string, rationale string"
-
+from quillmill.plans.views import AUDIT, JUDGE, ROLLOUT, TASK, strip_sql
 
 @register("margin_judge", f"with {ROLLOUT} select log_no, coalesce(p_yes - p_no > 0.8, false) as strict, coalesce(p_yes - p_no >= 0.8, false) as loose from rollout")
 def margin_judge(spark: SparkSession, d: str) -> DataFrame:
@@ -20,57 +18,73 @@ def margin_judge(spark: SparkSession, d: str) -> DataFrame:
     return v.rollouts(spark, d).select("log_no", scores.margin_passes(y, n, 0.8, True).alias("strict"), scores.margin_passes(y, n, 0.8, False).alias("loose"))
 
 
-@register("yes_no_mass", f"""with {JUDGE} select judge_no, round(coalesce(exp(yes_logprob), 0) + coalesce(exp(yes_logprob - 1), 0), 9) as p_yes, round(coalesce(exp(no_logprob), 0), 9) as p_no from judge""")
-def yes_no_mass(spark: SparkSession, d: str) -> DataFrame:
-    """Mass of yes and no over the first token's alternatives."""
-    alt = lambda w, c: F.struct(F.lit(w).alias("token"), c.alias("logprob"))
-    top = F.array(alt(" Yes", F.col("yes_logprob")), alt("no ", F.col("no_logprob")), alt("YES", F.col("yes_logprob") - 1), alt("maybe", F.lit(-0.1)), alt("no", F.lit(None).cast("double")))
-    return v.judges(spark, d).select("judge_no", scores.yes_no_mass(top).alias("m")).select("judge_no", v.r9(F.col("m.p_yes")).alias("p_yes"), v.r9(F.col("m.p_no")).alias("p_no"))
+_TOP = [(" Yes", "yes_logprob"), ("no ", "no_logprob"), ("YES", "yes_logprob - 1"), ("maybe", "-0.1::double"), ("no", "null")]
 
 
-def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    """Judgement and confidence read from raw output that is a JSON object, in a fence or not."""
-    j = v.judges(spark, d).select("judge_no", text.code_fence(F.col("raw_output")).alias("t")).where("t like '{%}'")
-    r = j.select("judge_no", F.from_json("t", JUDGE_SCHEMA).alias("r"))
-    word = F.lower(text.ustrip(F.coalesce("r.judgment", "r.verdict", F.lit(""))))
-    why = text.ustrip(F.coalesce("r.explanation", "r.feedback", "r.rationale", F.lit("")))
-    conf = scores.clamp_confidence(F.coalesce("r.confidence", "r.confidence_score"))
-    return r.select("judge_no", F.when(word.isin("yes", "no"), word).alias("judgment"), conf.alias("confidence"), why.alias("explanation"))
+@register("yes_no_mass", f"""with {JUDGE} select judge_no, case when judge_no % 5 = 0 then 0.0::double else round(coalesce(exp(yes_logprob), 0) + coalesce(exp(yes_logprob - 1), 0), 9) end as p_yes, case when judge_no % 5 = 0 then 0.0::double else round(coalesce(exp(no_logprob), 0), 9) end as p_no from judge""")
+def yes_no_mass(spark: SparkSession, d: str) -> DataFrame:
+    """Mass of yes and no in responses written as JSON, each fifth cut short."""
+    top = F.array(*[F.struct(F.lit(w).alias("token"), F.expr(x.replace("::double", "D")).cast("double").alias("logprob")) for w, x in _TOP])
+    choice = F.struct(F.struct(F.array(F.struct(top.alias("top_logprobs"))).alias("content")).alias("logprobs"))
+    whole = F.to_json(F.struct(F.array(choice).alias("choices")))
+    response = F.when(F.col("judge_no") % 5 == 0, F.substr(whole, F.lit(1), F.lit(40))).otherwise(whole)
+    return v.judges(spark, d).select("judge_no", scores.response_mass(response).alias("m")).select("judge_no", v.r9(F.col("m.p_yes")).alias("p_yes"), v.r9(F.col("m.p_no")).alias("p_no"))
 
 
+_LAST = "regexp_replace(raw_output, '(?is)^.*(</think>|\\[/think\\]|<channel\\|>)', '')"
 _FENCE = "```(?:json)?\\s*([\\s\\S]*?)\\s*```"
-_RAW = f"case when regexp_matches({strip_sql('raw_output')}, '{_FENCE}') then regexp_extract({strip_sql('raw_output')}, '{_FENCE}', 1) else {strip_sql('raw_output')} end"
-_JSON = f"""{JUDGE}, raw as (select judge_no, {_RAW} as t from judge), obj as (select judge_no, t from raw where starts_with(t, '{{') and ends_with(t, '}}') and json_valid(t)),
- parsed as (select judge_no, lower(trim(coalesce(t->>'$.judgment', t->>'$.verdict', ''))) as word, try_cast(t->>'$.confidence' as int) as confidence, trim(coalesce(t->>'$.explanation', t->>'$.feedback', t->>'$.rationale', '')) as explanation from obj)"""
-
-
-@register("confidence_judge", f"with {_JSON} select judge_no, case when word in ('yes', 'no') then word end as judgment, confidence, coalesce(word = 'yes' and confidence >= 5, false) as passed, explanation from parsed")
+_TRIES = [strip_sql("t"), f"regexp_extract(t, '{_FENCE}', 1)", r"regexp_extract(t, '(?s)\{.*\}')", r"replace(regexp_extract(t, '(?s)\{.*\}'), chr(39), '\"')"]
+_JSON = f"""{JUDGE}, raw as (select judge_no, {_LAST} as t from judge),
+ obj as (select judge_no, case {' '.join(f"when json_valid({x}) and {x} <> '' then {x}" for x in _TRIES)} end as j from raw),
+ parsed as (select judge_no, case when starts_with(ltrim(j), '{{') then j end as j from obj),
+ said as (select judge_no, j is not null as readable, lower({strip_sql("coalesce(j->>'$.judgment', j->>'$.verdict', '')")}) as word,
+  case when try_cast(coalesce(j->>'$.confidence', j->>'$.confidence_score') as int) is not null then least(10, greatest(1, try_cast(coalesce(j->>'$.confidence', j->>'$.confidence_score') as int))) end as confidence,
+  {strip_sql("coalesce(j->>'$.explanation', j->>'$.feedback', j->>'$.rationale', '')")} as why,
+  {strip_sql("coalesce(j->>'$.corrected_answer', j->>'$.ideal_answer', j->>'$.target_answer', '')")} as corrected_answer from parsed)"""
+
+
+@register("confidence_judge", f"""with {_JSON}, v as (select *, case when word in ('yes', 'no') then word end as judgment from said)
+select judge_no, judgment, confidence, coalesce(judgment = 'yes' and confidence >= 5, false) as passed, corrected_answer,
+ case when not readable then 'Judge output was not parseable JSON.' when judgment = 'yes' and confidence < 5 then {strip_sql("'Judge returned yes with confidence ' || confidence || ', below threshold 5. ' || why")}
+  when judgment is null or confidence is null then coalesce(nullif(why, ''), 'Judge output lacked a valid yes/no judgment or confidence score.') else why end as feedback from v""")
 def confidence_judge(spark: SparkSession, d: str) -> DataFrame:
-    """Judgements that say yes with a confidence of 5 or more."""
-    p = _parsed(spark, d)
-    return p.select("judge_no", "judgment", "confidence", F.coalesce((F.col("judgment") == "yes") & (F.col("confidence") >= 5), F.lit(False)).alias("passed"), "explanation")
+    """Every judgement: yes with a confidence of 5 or more passes; an output that cannot be read does not."""
+    j = answers.confidence_judgement(text.strip_think_last(F.coalesce("raw_output", F.lit(""))), 5)
+    return v.judges(spark, d).select("judge_no", j.alias("j")).select("judge_no", "j.*")
 
 
-@register("judge_json", f"""with {JUDGE}, x as (select judge_no, case judge_no % 3 when 0 then '{{"choice": "1", "category": "3", "reason": " ok "}}' when 1 then '```json {{"choice": "7", "category": "2"}} ```' else 'no json' end as t from judge)
-select judge_no, case judge_no % 3 when 0 then '1' else 'Invalid' end as choice, case judge_no % 3 when 0 then '3' when 1 then '2' else 'Invalid' end as category, case judge_no % 3 when 0 then 'ok' when 1 then '' else 'judge_parse_error: no json' end as reason from x""")
+@register("judge_json", f"""with {JUDGE}, x as (select judge_no, {strip_sql("case when starts_with(raw_output, '```') then regexp_replace(regexp_replace(raw_output, '^```(?:json)?\\s*', '', 'i'), '\\s*```\\s*$', '') else coalesce(raw_output, '') end")} as t from judge),
+ o as (select judge_no, t, case when json_valid(t) and starts_with(t, '{{') then replace(replace(t, '"judgment": "yes"', '"choice": "1"'), '"judgment": "no"', '"choice": "2"') end as j from x)
+select judge_no, case when trim(j->>'$.choice') in ('1', '2', 'Invalid') then trim(j->>'$.choice') else 'Invalid' end as choice,
+ case when trim(j->>'$.confidence') in ('1', '2', '3', 'Invalid') then trim(j->>'$.confidence') else 'Invalid' end as category,
+ case when j is null then 'judge_parse_error: ' || coalesce(nullif(t[1:120], ''), 'EMPTY') else {strip_sql("coalesce(j->>'$.explanation', '')")} end as reason from o""")
 def judge_json(spark: SparkSession, d: str) -> DataFrame:
-    """Pairwise verdicts read from JSON, anything unexpected invalid."""
-    n = F.col("judge_no") % 3
-    t = F.when(n == 0, '{"choice": "1", "category": "3", "reason": " ok "}').when(n == 1, '```json {"choice": "7", "category": "2"} ```').otherwise("no json")
-    raw = text.code_fence(t)
-    r = F.when(raw.startswith("{"), F.from_json(raw, "choice string, category string, reason string"))
-    pick = lambda c, ok: F.when(text.ustrip(r[c]).isin(*ok), text.ustrip(r[c])).otherwise("Invalid")
-    reason = F.when(r.isNull(), F.concat(F.lit("judge_parse_error: "), F.substr(raw, F.lit(1), F.lit(120)))).otherwise(text.text_or_empty(r["reason"]))
-    return v.judges(spark, d).select("judge_no", pick("choice", ["1", "2", "Invalid"]).alias("choice"), pick("category", ["1", "2", "3", "Invalid"]).alias("category"), reason.alias("reason"))
+    """Pairwise verdicts read from the judges' outputs: a yes as the first choice, the confidence as
+    the category; anything unexpected is invalid."""
+    r = F.replace(F.replace("raw_output", F.lit('"judgment": "yes"'), F.lit('"choice": "1"')), F.lit('"judgment": "no"'), F.lit('"choice": "2"'))
+    named = F.replace(F.replace(r, F.lit('"confidence":'), F.lit('"category":')), F.lit('"explanation":'), F.lit('"reason":'))
+    got = answers.pairwise_verdict(named)
+    raw = answers.pairwise_verdict(F.col("raw_output"))["reason"]
+    return v.judges(spark, d).select("judge_no", got.alias("g"), raw.alias("raw")).select("judge_no", "g.choice", "g.category", F.when(F.col("g.readable"), F.col("g.reason")).otherwise(F.col("raw")).alias("reason"))
+
+
+_SOLUTION = f"""case when log_no % 2 = 0 then candidate else '<think>why</think> ' || coalesce(candidate, '') end"""
+_AFTER = f"case when contains(s, '</think>') then {strip_sql("regexp_replace(s, '(?s)^.*</think>', '')")} else s end"
 
 
-@register("reward_score", f"""with {ROLLOUT} select log_no, case when reference is null or reference = '' or candidate is null then 0.5::double else 0.5 + case when p_yes - p_no > margin_threshold then 1.0 else 0.0 end end as score from rollout""")
+@register("reward_score", f"""with {ROLLOUT}, {TASK}, x as (select r.*, coalesce({_SOLUTION}, '') as s, t.content, t.question from rollout r left join task t on t.task_no = r.row_idx),
+ y as (select *, case when contains({_AFTER}, '\\boxed{{') then nullif({strip_sql(v.balanced_sql(f"string_split({_AFTER}, '{chr(92)}boxed{{')[-1]"))}, '') end as answer,
+  case when not contains(s, '<think>') or not contains(s, '</think>') then 0.0::double when contains({_AFTER}, '\\boxed{{') and nullif({strip_sql(v.balanced_sql(f"string_split({_AFTER}, '{chr(92)}boxed{{')[-1]"))}, '') is not null then 1.0 else 0.5 end as form from x),
+ z as (select *, answer is not null and coalesce(trim(content), '') <> '' and coalesce(trim(question), '') <> '' and coalesce(trim(reference), '') <> '' and coalesce(p_yes - p_no > margin_threshold, false) as sure from y)
+select log_no, form + case when sure then 1 else 0 end as score, sure::int as acc, form as format_reward, case when sure then 1.0::double else 0.0 end as correctness_reward from z""")
 def reward_score(spark: SparkSession, d: str) -> DataFrame:
-    """Reward for form plus correctness by margin; form alone where a field is missing."""
-    form = answers.format_reward(F.concat(F.lit("<think></think>"), F.coalesce("candidate", F.lit(""))))
-    ok = F.when(F.coalesce(F.col("p_yes") - F.col("p_no") > F.col("margin_threshold"), F.lit(False)), 1.0).otherwise(0.0)
-    missing = (F.coalesce("reference", F.lit("")) == "") | F.col("candidate").isNull()
-    return v.rollouts(spark, d).select("log_no", F.when(missing, form).otherwise(form + ok).alias("score"))
+    """Reward of every rollout, each second one with its thinking before it: form, plus correctness
+    by margin where an answer came out and the judge had all it needs."""
+    solution = F.coalesce(F.when(F.col("log_no") % 2 == 0, F.col("candidate")).otherwise(F.concat(F.lit("<think>why</think> "), F.coalesce("candidate", F.lit("")))), F.lit(""))
+    t = v.tasks(spark, d).select(F.col("task_no").alias("row_idx"), "content", "question")
+    r = v.rollouts(spark, d).select("log_no", "row_idx", solution.alias("s"), "reference", "p_yes", "p_no", "margin_threshold").join(t, "row_idx", "left")
+    got = scores.total_reward(answers.format_reward(F.col("s")), answers.boxed_last(F.col("s")), [F.col(c) for c in ("content", "question", "reference")], F.col("p_yes"), F.col("p_no"), F.col("margin_threshold"))
+    return r.select("log_no", got.alias("g")).select("log_no", "g.*")
 
 
 @register("judge_drop", f"""with {JUDGE}, g as (select task_no, bool_or(passed) as passed, arg_max(corrected_answer, judge_no) as final from judge group by 1)
@@ -101,14 +115,17 @@ def audit_logged(spark: SparkSession, d: str) -> DataFrame:
     return v.audits(spark, d).where("log_p_yes is not null and log_p_no is not null and not isnan(log_p_yes) and not isnan(log_p_no)").select("audit_no", F.round(y - n, 6).alias("margin"))
 
 
-@register("continuation_mass", f"""with {JUDGE}, x as (select judge_no, yes_logprob - v * 0.5 as y, no_logprob - v * 0.25 as n from judge, (select unnest([0, 1, 2, 3]) as v))
-select judge_no, round(coalesce(sum(exp(y)), 0), 9) as p_yes, round(coalesce(sum(exp(n)), 0), 9) as p_no from x group by 1""")
+_VARIANTS = {"p_yes": ["yes", " yes", "Yes", " Yes"], "p_no": ["no", " no", "No", " No"]}
+
+
+@register("continuation_mass", f"""with {JUDGE}, w as (select unnest(['yes', ' yes', 'Yes', ' Yes', 'no', ' no', 'No', ' No']) as w), x as (select judge_no, lower(trim(w)) as c, case when lower(trim(w)) = 'yes' then yes_logprob else no_logprob end - length(w) * 0.25 as lp from judge, w)
+select judge_no, round(coalesce(sum(exp(lp)) filter (c = 'yes'), 0), 9) as p_yes, round(coalesce(sum(exp(lp)) filter (c = 'no'), 0), 9) as p_no from x group by 1""")
 def continuation_mass(spark: SparkSession, d: str) -> DataFrame:
-    """Every prompt with eight continuations, scored and summed per class again."""
-    rows = v.judges(spark, d).select("judge_no", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"), "yes_logprob", "no_logprob")
-    scored = rows.select("judge_no", F.explode(F.create_map(F.lit("p_yes"), F.col("yes_logprob") - F.col("v") * 0.5, F.lit("p_no"), F.col("no_logprob") - F.col("v") * 0.25)).alias("class", "lp"))
-    wide = scored.groupBy("judge_no").pivot("class", ["p_yes", "p_no"]).agg(F.sum(F.exp("lp")))
-    return wide.select("judge_no", *[v.r9(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("p_yes", "p_no")])
+    """Every judgement with eight continuations, scored and summed per class again."""
+    rows = reshape.continuations(v.judges(spark, d).select("judge_no", "yes_logprob", "no_logprob"), _VARIANTS)
+    lp = F.when(F.col("class") == "p_yes", F.col("yes_logprob")).otherwise(F.col("no_logprob")) - F.length("continuation") * 0.25
+    wide = reshape.class_mass(rows.withColumn("logprob", lp), "judge_no", ["p_yes", "p_no"])
+    return wide.select("judge_no", *[v.r9(F.col(c)).alias(c) for c in ("p_yes", "p_no")])
 
 
 @register("loose_judge", f"with {JUDGE} select judge_no, coalesce(lower(trim(judgment)) in ('yes', 'pass', 'correct', 'true', '1'), false) as passed from judge")

@@ -158,15 +158,21 @@ def filter_rollup(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register("judge_summary", f"""with {JUDGE}, g as (select task_no, bool_or(passed) as passed, count(*) as rounds, arg_min(passed, judge_round::bigint * 1000000000 + judge_no) as first_passed, max(case when passed then 1 else 0 end) as p from judge group by 1)
-select count(*) as tasks, count(*) filter (passed) as passed, count(*) filter (not passed) as failed, count(*) filter (passed and not first_passed) as recovered, sum(rounds)::bigint as rounds from g""")
+@register("judge_summary", f"""with {JUDGE}, g as (select task_no, bool_or(passed) as passed, count(*) as rounds, arg_min(passed, judge_round::bigint * 1000000000 + judge_no) as first_passed, coalesce(bool_or(not passed and coalesce(corrected_answer, '') <> ''), false) as righted, bool_and(coalesce(raw_output, '') = '') as blank from judge group by 1)
+select count(*) as tasks, count(*) filter (passed) as passed, count(*) filter (not passed) as failed, count(*) filter (passed and not first_passed) as recovered, sum(rounds)::bigint as rounds, count(*) filter (not passed and righted) as rationalized, count(*) filter (not passed and not righted) as dropped, count(*) filter (blank) as empty from g""")
 def judge_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Tasks passed, failed, and recovered in a later round."""
+    """Tasks passed, failed, and recovered in a later round; of those failed, the ones with a right
+    answer to go on from and the ones dropped; and those without any output."""
     first = F.min_by("passed", F.struct("judge_round", "judge_no"))
-    g = v.judges(spark, d).groupBy("task_no").agg(F.bool_or("passed").alias("passed"), F.count(F.lit(1)).alias("rounds"), first.alias("first_passed"))
-    return g.agg(
-        F.count(F.lit(1)).alias("tasks"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(F.col("passed") & ~F.col("first_passed")).alias("recovered"), F.sum("rounds").alias("rounds")
+    righted = F.coalesce(F.bool_or(~F.col("passed") & (F.coalesce("corrected_answer", F.lit("")) != "")), F.lit(False))
+    g = v.judges(spark, d).groupBy("task_no").agg(
+        F.bool_or("passed").alias("passed"), F.count(F.lit(1)).alias("rounds"), first.alias("first_passed"), righted.alias("righted"), F.bool_and(F.coalesce("raw_output", F.lit("")) == "").alias("blank")
     )
+    lost = ~F.col("passed")
+    return g.agg(
+        F.count(F.lit(1)).alias("tasks"), F.count_if("passed").alias("passed"), F.count_if(lost).alias("failed"), F.count_if(F.col("passed") & ~F.col("first_passed")).alias("recovered"), F.sum("rounds").alias("rounds"),
+        F.count_if(lost & F.col("righted")).alias("rationalized"), F.count_if(lost & ~F.col("righted")).alias("dropped"), F.count_if("blank").alias("empty"),
+    )
 
 
 @register("prob_mass", f"""with {JUDGE}, e as (select judge_no, 'yes' as class, yes_logprob as lp from judge union all select judge_no, 'no', no_logprob from judge)

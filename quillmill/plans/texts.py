@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions import answers, text
-from quillmill.functions.parsers import boxed_first, json_text, last_json_span
+from quillmill.functions.parsers import json_text, last_json_span
 from quillmill.plans import views as v
 from quillmill.plans.registry import register
 from quillmill.plans.views import AUDIT, JUDGE, ROLLOUT, TASK, strip_sql
@@ -19,7 +19,7 @@ from quillmill.session import table
 #: Outputs in the forms a model leaves them in, by the record's number.
 OUT = f"""{AUDIT}, out as (select audit_no, case audit_no % 6
  when 0 then coalesce(raw_output, '') when 1 then '<think>' || coalesce(raw_output, '') || '</think> ' || coalesce(model_answer, '')
- when 2 then 'a <THINK> b </think> c [/THINK] ' || coalesce(model_answer, '') || ' ' when 3 then coalesce(model_answer, '') || '\\boxed{{x {{y}} z}} and \\boxed{{' || attempt || '}} end'
+ when 2 then 'a <THINK> b </think> c [/THINK] ' || coalesce(model_answer, '') || ' ' when 3 then coalesce(model_answer, '') || '\\boxed{{x {{y}} z}} and \\boxed{{' || '{{' || attempt || '}} no' || '}} end'
  when 4 then '```json ' || coalesce(model_answer, '') || ' ``` tail' else 'Answer: ' || attempt || ') yes' end as t from audit)"""
 
 
@@ -31,7 +31,7 @@ def _out(spark: SparkSession, d: str) -> DataFrame:
         F.when(n == 0, raw)
         .when(n == 1, F.concat(F.lit("<think>"), raw, F.lit("</think> "), ans))
         .when(n == 2, F.concat(F.lit("a <THINK> b </think> c [/THINK] "), ans, F.lit(" ")))
-        .when(n == 3, F.concat(ans, F.lit("\\boxed{x {y} z} and \\boxed{"), a, F.lit("} end")))
+        .when(n == 3, F.concat(ans, F.lit("\\boxed{x {y} z} and \\boxed{{"), a, F.lit("} no} end")))
         .when(n == 4, F.concat(F.lit("```json "), ans, F.lit(" ``` tail")))
         .otherwise(F.concat(F.lit("Answer: "), a, F.lit(") yes")))
     )
@@ -74,7 +74,6 @@ _query("boxed_greedy", f"case when regexp_matches({_AFTER}, '(?s)\\\\boxed\\{{(.
 _query("boxed_int", "try_cast(coalesce(nullif(regexp_extract(t, '(?i)\\\\boxed\\{\\s*(\\d+)(?:\\s*[).][^}]*)?\\s*\\}', 1), ''), nullif(regexp_extract(t, '(?i)Answer:\\s*(\\d+)', 1), '')) as bigint)", answers.boxed_int, "Number in a box or after a label.")
 _query("boxed_1to4", "try_cast(coalesce(nullif(regexp_extract(t, '\\\\boxed\\{\\s*([1-4])\\s*\\}', 1), ''), nullif(regexp_extract(t, '\\b([1-4])\\b', 1), '')) as int)", answers.boxed_1to4, "Option in a box, else any bare one.")
 _query("option_digit", "try_cast(nullif(regexp_extract(t, '\\b([1-5])\\b', 1), '') as int)", answers.option_digit, "First bare option.")
-_query("yes_no", "lower(coalesce(nullif(regexp_extract(regexp_extract(t, '(?is)\\\\boxed\\s*\\{([^{}]*)\\}', 1), '(?i)\\b(yes|no)\\b', 1), ''), nullif(regexp_extract(t, '(?i)\\b(yes|no)\\b', 1), '')))", answers.yes_no, "Yes or no in the box, else anywhere.")
 _query("code_fence", _FENCED, text.code_fence, "Inside of the first code fence.")
 _query("truncate_marker", f"case when length({strip_sql('t')}) > 200 then rtrim({strip_sql('t')}[1:168], {v.SPACES_SQL}) || chr(10) || '...[truncated]' else {strip_sql('t')} end", lambda c: text.truncate_marker(c, 200), "Cut to 200 characters with a mark.")
 _query("token_count_ws", f"case when {strip_sql('t')} = '' then 0 else len(regexp_split_to_array({strip_sql('t')}, '\\s+'))::int end", text.token_count_ws, "Number of words.")
@@ -83,8 +82,12 @@ _query("explanation_text", f"case when contains(t, '</think>') and length({strip
 _TAIL = f"string_split({_EXACT}, '\\boxed{{')[-1]"
 _BODY = "case when regexp_matches(t, '(?i)</think>') then regexp_replace(t, '(?is)^.*?</think>', '') else t end"
 _BARE = f"(case when regexp_matches({strip_sql(_BODY)}, '{_FENCE}') then {strip_sql(f"regexp_extract({strip_sql(_BODY)}, '{_FENCE}', 1)")} else {strip_sql(_BODY)} end)"
-_query("boxed_last", f"case when contains({_EXACT}, '\\boxed{{') then nullif({strip_sql(f"regexp_extract({_TAIL}, '(?s)^([^{{}}]*)\\}}', 1)")}, '') end", answers.boxed_last, "Last box after the thinking, braces balanced.")
-_query("boxed_first", None, boxed_first, "First box that closes, braces balanced.")
+_query("boxed_last", f"case when contains({_EXACT}, '\\boxed{{') then nullif({strip_sql(v.balanced_sql(_TAIL))}, '') end", answers.boxed_last, "Last box after the thinking, braces balanced.")
+_BOXES = "list_filter(list_transform(range(2, len(string_split(m, chr(1))) + 1), lambda k: {b}), lambda x: x is not null)".format(b=v.balanced_sql("array_to_string(string_split(m, chr(1))[k:], '\\boxed{')"))
+_FIRST = f"(select coalesce({strip_sql(f'({_BOXES})[1]')}, '') from (select regexp_replace(t, '(?i){chr(92)}{chr(92)}boxed{chr(92)}s*{chr(92)}{{', chr(1), 'g') as m))"
+_query("boxed_first", _FIRST, answers.boxed_first, "First box that closes, braces balanced.")
+_query("yes_no", f"lower(coalesce(nullif(regexp_extract({_FIRST}, '(?i)\\b(yes|no)\\b', 1), ''), nullif(regexp_extract(t, '(?i)\\b(yes|no)\\b', 1), '')))", answers.yes_no, "Yes or no in the first box, else anywhere.")
+_query("final_int", "try_cast(coalesce(nullif(regexp_extract(t, '(?i)\\\\boxed\\{\\s*(\\d+)(?:\\s*[).][^}]*)?\\s*\\}', 1), ''), nullif(regexp_extract(t, '(?i)Answer:\\s*(\\d+)', 1), ''), nullif(regexp_extract(t, '(?im)^(\\d+)\\)?\\s*$', 1), ''), nullif(regexp_extract(t, '(?i)option\\s*(\\d+)', 1), '')) as bigint)", answers.final_int, "Number in a box, after a label, alone on a line or after option.")
 _query("open_answer", f"case when not regexp_matches(t, '(?i)</think>') and contains(lower(t), '<think>') then null else nullif(case when regexp_matches({_BARE}, '(?s)\\\\boxed\\{{(.*?)\\}}') then {strip_sql(f"regexp_extract({_BARE}, '(?s)\\\\boxed\\{{(.*?)\\}}', 1)")} else {_BARE} end, '') end", answers.open_answer, "Open answer after the first </think>.")
 _query("json_loose", None, json_text, "JSON value in a text, by a ladder of attempts.")
 _query("json_last_span", None, last_json_span, "Last JSON span of a text.")
@@ -131,7 +134,12 @@ def jsonl_in_text(spark: SparkSession, d: str) -> DataFrame:
     return lines.select("event_id", rec.alias("r")).where("r.k is not null").select("event_id", "r.k")
 
 
-@register("parse_labeled")
+_LABELLED = "'Content: ' || coalesce(content, '') || chr(10) || ' Question: ' || coalesce(question, '') || chr(10) || 'ANSWER: ' || coalesce(answer, '')"
+
+
+@register("parse_labeled", f"""with {TASK}, x as (select task_no, {_LABELLED} as t from task),
+ y as (select task_no, regexp_extract(t, '(?is)\\bcontent\\s*:\\s*(.+?)\\s*\\n\\s*question\\s*:', 1) as content, regexp_extract(t, '(?is)\\bquestion\\s*:\\s*(.+?)\\s*\\n\\s*answer\\s*:', 1) as question, regexp_extract(t, '(?is)\\banswer\\s*:\\s*(.+?)\\s*$', 1) as answer from x)
+select task_no, {strip_sql('content')} as content, {strip_sql('question')} as question, {strip_sql('answer')} as answer from y where content <> '' and question <> '' and answer <> ''""")
 def parse_labeled(spark: SparkSession, d: str) -> DataFrame:
     """Content, question and answer read back from labelled text."""
     t = F.concat(F.lit("Content: "), F.coalesce("content", F.lit("")), F.lit("\n Question: "), F.coalesce("question", F.lit("")), F.lit("\nANSWER: "), F.coalesce("answer", F.lit("")))

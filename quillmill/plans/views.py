@@ -79,3 +79,14 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
 def r9(c: Column) -> Column:
     """Rounded to nine decimals: sums in another order give the same."""
     return F.round(c, 9)
+
+
+def balanced_sql(tail: str) -> str:
+    """SQL of ``balanced``: up to where one more brace has closed than opened."""
+    at = f"list_position(list_transform(range(1, length({tail}) + 1), lambda i: length(replace(({tail})[1:i], '}}', '')) + 1 = length(replace(({tail})[1:i], '{{', ''))), true)"
+    return f"(case when {at} > 0 then ({tail})[1:{at} - 1] end)"
+
+
+def after_think_sql(x: str) -> str:
+    """SQL of ``strip_think_last``."""
+    return strip_sql(f"regexp_replace({x}, '(?is)^.*(</think>|\\[/think\\]|<channel\\|>)', '')")

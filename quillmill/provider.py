@@ -11,10 +11,12 @@ import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.functions.text import contains_close
 from quillmill.session import materialize
 
 
@@ -81,3 +83,56 @@ def score(df: DataFrame, make: Callable[[], Provider], prompt: str, answer: str,
     scored = materialize(keys.mapInPandas(run, keys.select("*", F.lit(0.0).alias(out)).schema), "scored")
     same = F.col(prompt).eqNullSafe(F.col("_p")) & F.col(answer).eqNullSafe(F.col("_a"))
     return df.join(scored.select(F.col(prompt).alias("_p"), F.col(answer).alias("_a"), out), same, "left").drop("_p", "_a")
+
+
+def judged(df: DataFrame, make: Callable[[], Provider], prompt: str, answer: str, threshold: float, classes: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with ``p_yes``, ``p_no``, ``margin``, ``confident_yes``, ``format_ok`` and ``logged``: a
+    judgement by the probability of its yes and no continuations.
+
+    A row without an answer is not judged: zeros, no format, nothing logged. A judge that fails
+    until its attempts are used up gives zeros too, but the format holds and the row is logged.
+    Distinct prompts are judged once.
+    """
+    classes = classes or {"p_yes": ["yes", " yes", "Yes", " Yes"], "p_no": ["no", " no", "No", " No"]}
+    has = F.coalesce(F.trim(answer), F.lit("")) != ""
+    asked = df.where(has).select(prompt).distinct()
+    words = [(k, x) for k, xs in classes.items() for x in xs]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for pdf in batches:
+            texts = pdf[prompt].fillna("").tolist()
+            flat = with_retry(lambda t=texts: model.score([x for x in t for _ in words], [w for _ in t for _, w in words]))
+            mass = np.zeros((len(texts), len(words))) if flat is None else np.exp(np.array(flat, float).reshape(len(texts), len(words)))
+            yield pdf.assign(**{k: mass[:, [i for i, (c, _) in enumerate(words) if c == k]].sum(axis=1) for k in classes})
+
+    schema = asked.select("*", *[F.lit(0.0).alias(k) for k in classes]).schema
+    scored = materialize(asked.mapInPandas(run, schema), "judged").withColumnRenamed(prompt, "_p")
+    out = df.join(scored, F.col(prompt).eqNullSafe(F.col("_p")) & has, "left").drop("_p")
+    margin = F.col("p_yes") - F.col("p_no")
+    return (
+        out.withColumns({k: F.coalesce(k, F.lit(0.0)) for k in classes})
+        .withColumns({"margin": margin, "confident_yes": has & (margin > threshold), "format_ok": has, "logged": has})
+    )
+
+
+def evaluate(df: DataFrame, make: Callable[[], Provider], prompt: str, gold: str, parse: Callable[[Column], Column], stop: str) -> DataFrame:
+    """``df`` with ``raw_output``, ``predicted_answer``, ``correct``, ``extraction_failure``,
+    ``budget_forced`` and ``force_reason``: one run over a benchmark.
+
+    An output whose thinking was opened but not closed is ended by ``stop`` and continued once
+    (reason ``no_close``); one that stays blank is asked once more (``empty``).
+    """
+    first = generate(df, make, prompt, "_one")
+    one = F.coalesce("_one", F.lit(""))
+    opened = F.lower(one).rlike(r"<think>|\[think\]") & ~contains_close(one)
+    reason = F.when(opened, "no_close").when(F.trim(one) == "", "empty")
+    marked = first.withColumn("force_reason", reason)
+    again = generate(marked.where("force_reason is not null").withColumn("_again", F.concat(F.coalesce(prompt, F.lit("")), one, F.lit(stop))), make, "_again", "_two")
+    continued = again.withColumn("raw_output", F.concat(F.when(opened, F.concat(one, F.lit(stop))).otherwise(""), F.coalesce("_two", F.lit("")))).drop("_again", "_two")
+    all_ = marked.where("force_reason is null").withColumn("raw_output", one).unionByName(continued).drop("_one")
+    predicted = parse(F.col("raw_output"))
+    return all_.withColumns({
+        "predicted_answer": predicted, "correct": F.coalesce(predicted == F.col(gold), F.lit(False)),
+        "extraction_failure": predicted.isNull(), "budget_forced": F.col("force_reason").isNotNull(),
+    })

@@ -16,6 +16,8 @@ TABLES = (
 ).split()
 
 _SCRATCH = None
+#: Tables written to the shared folder by this process.
+_WRITTEN: set[str] = set()
 
 
 def get_session(cpus: int | str = "*", shuffle_partitions: int | None = None, app: str = "quillmill") -> SparkSession:
@@ -64,11 +66,35 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at files that
     survive the loss of an executor, and later readers prune columns."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """New path in the shared folder; what is written there goes with `release`, at the latest when
+    this process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.add(path)
+    return path
+
+
+def release() -> None:
+    """Delete the intermediate tables of this process. Results that still read them must have been
+    written or collected before."""
+    import pyarrow.fs
+
+    while _WRITTEN:
+        path = _WRITTEN.pop()
+        try:
+            fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+            fs.delete_dir(at)
+        except (OSError, ValueError):  # gone already, or on a file system only the JVM reaches
+            continue
+
+
 _SHIPPED: set[str] = set()
 
 

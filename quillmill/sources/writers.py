@@ -8,7 +8,7 @@ import json
 import os
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
@@ -42,6 +42,11 @@ def write_summary_json(value: Any, path: str) -> None:
     _into(path, json.dumps(value, ensure_ascii=False, indent=2, default=str) + "\n")
 
 
+def write_manifest(spark: SparkSession, value: Any, path: str) -> None:
+    """Summary or manifest as one JSON document in a folder on any file system Spark reaches."""
+    spark.createDataFrame([(json.dumps(value, ensure_ascii=False, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_summary_csv(df: DataFrame, path: str) -> None:
     """Wide metric table as one CSV file."""
     out = io.StringIO()

@@ -22,10 +22,10 @@ def test_ranked_drops(spark, percent, field):
     rnd = random.Random(2)
     rows = [(k, rnd.choice(["a", "b", None, "hot", "hot"]), float(rnd.randrange(4))) for k in range(150)]
     df = spark.createDataFrame(rows, "pos long, section string, score double").repartition(5)
-    sign = 1 if field == "log_odds" else -1
 
     def keep(some):
-        return {r[0] for r in sorted(some, key=lambda r: (sign * r[2], r[0]))[int(percent / 100.0 * len(some)) :]}
+        n, ordered = int(percent / 100.0 * len(some)), sorted(some, key=lambda r: (r[2], r[0]))
+        return {r[0] for r in (ordered[n:] if field == "log_odds" else ordered[: len(some) - n])}
 
     assert {r["pos"] for r in filters.drop_bottom(df, percent, field).collect()} == keep(rows)
     want = set().union(*[keep([r for r in rows if r[1] == s]) for s in {r[1] for r in rows}])
