@@ -26,7 +26,6 @@ every link between different groups is still found.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -45,7 +44,7 @@ from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles,
 from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
-from quillmill.session import materialize, shared_dir, table
+from quillmill.session import materialize, scratch_path, table
 
 #: Counters of the sketch per set.
 SLOTS_PER_SET = 64
@@ -256,7 +255,7 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
                 out = {"no": no, "size": size, "units": units, "keys": [key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], "first": first, "block": _block_of(no, blocks)}
                 yield pd.DataFrame(out)[np.diff(cuts) > 0]
 
-    asks = f"{shared_dir(spark)}/asks-{uuid.uuid4().hex}"
+    asks = scratch_path(spark, "asks")
     schema = "no long, size int, units int, keys binary, first array<long>, block int"
     sets.select("no", "text").mapInPandas(ask, schema).write.partitionBy("block").parquet(asks)
     texts = sets.select("no", "text")
@@ -275,7 +274,7 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
     if stars:
         star = materialize(verified(_representatives(spark.read.schema(schema).parquet(asks))), "star")
         root = connected_components(star).withColumnRenamed("node", "no")
-        linked = f"{shared_dir(spark)}/linked-{uuid.uuid4().hex}"
+        linked = scratch_path(spark, "linked")
 
         def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
