@@ -95,17 +95,18 @@ def judge_drop(spark: SparkSession, d: str) -> DataFrame:
     return g.where(F.col("passed") | (text.text_or_empty(F.col("final")) != "")).select("task_no")
 
 
-@register("judge_one", f"""with {ROLLOUT}, x as (select log_no, p_yes, p_no, margin_threshold, nullif({strip_sql("regexp_extract(candidate, '(?s)\\\\boxed\\{(.*)\\}', 1)")}, '') as answer from rollout)
-select log_no, answer is not null as format_ok, case when answer is null then 0.0::double else coalesce(p_yes, 0) end as p_yes, case when answer is null then false else coalesce(p_yes - p_no > margin_threshold, false) end as confident_yes from x""")
+@register("judge_one", f"""with {ROLLOUT}, x as (select log_no, p_yes, p_no, margin_threshold, nullif({strip_sql("regexp_extract(candidate, '(?s)\\\\boxed\\{(.*)\\}', 1)")}, '') is not null as has from rollout),
+ y as (select log_no, has, margin_threshold, case when has then coalesce(p_yes, 0) else 0.0::double end as p_yes, case when has then coalesce(p_no, 0) else 0.0::double end as p_no from x)
+select log_no, has as format_ok, has as logged, p_yes, p_no, p_yes - p_no as margin, has and coalesce(p_yes - p_no > margin_threshold, false) as confident_yes from y""")
 def judge_one(spark: SparkSession, d: str) -> DataFrame:
-    """One rollout's judgement; without an answer zeros and no format."""
-    a = answers.boxed_last(F.col("candidate"))
-    r = v.rollouts(spark, d).select("log_no", "p_yes", "p_no", "margin_threshold", a.alias("answer"))
-    has = F.col("answer").isNotNull()
-    return r.select(
-        "log_no", has.alias("format_ok"), F.when(has, F.coalesce("p_yes", F.lit(0.0))).otherwise(0.0).alias("p_yes"),
-        F.when(has, F.coalesce(F.col("p_yes") - F.col("p_no") > F.col("margin_threshold"), F.lit(False))).otherwise(False).alias("confident_yes"),
-    )
+    """One rollout's judgement: without an answer zeros, no format and no log line; a judge that gave
+    no probabilities counts as zeros, but the format holds and the call is logged."""
+    has = F.col("has")
+    r = v.rollouts(spark, d).select("log_no", "margin_threshold", answers.boxed_last(F.col("candidate")).isNotNull().alias("has"), "p_yes", "p_no")
+    p = {c: F.when(has, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in ("p_yes", "p_no")}
+    z = r.select("log_no", "has", "margin_threshold", *[x.alias(c) for c, x in p.items()])
+    margin = F.col("p_yes") - F.col("p_no")
+    return z.select("log_no", has.alias("format_ok"), has.alias("logged"), "p_yes", "p_no", margin.alias("margin"), (has & F.coalesce(margin > F.col("margin_threshold"), F.lit(False))).alias("confident_yes"))
 
 
 @register("audit_logged", f"with {AUDIT} select audit_no, round(log_p_yes - log_p_no, 6) as margin from audit where log_p_yes is not null and log_p_no is not null and not isnan(log_p_yes) and not isnan(log_p_no)")

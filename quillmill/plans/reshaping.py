@@ -13,7 +13,8 @@ from quillmill.operators import reshape
 from quillmill.plans import views as v
 from quillmill.plans.registry import register
 from quillmill.plans.views import AUDIT, ROLLOUT, TASK, strip_sql
-from quillmill.session import table
+from quillmill.session import scratch_path, table
+from quillmill.sources import writers
 
 SYSTEM = "You answer questions about short scenes."
 
@@ -226,5 +227,9 @@ def second_pass_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 @register("eval_failures", f"with {AUDIT} select backend, attempt, count(*) as rows, count(*) filter (coalesce({strip_sql('model_answer')}, '') = '') as failures from audit group by 1, 2")
 def eval_failures(spark: SparkSession, d: str) -> DataFrame:
-    """Rows and failures per model and seed, as the partitioned outputs are counted."""
-    return v.audits(spark, d).groupBy("backend", "attempt").agg(F.count(F.lit(1)).alias("rows"), F.count_if(text_or_empty(F.col("model_answer")) == "").alias("failures"))
+    """Results written by model and seed, the failed ones beside them, and both counted as read back."""
+    rows = v.audits(spark, d).select("audit_no", F.coalesce("backend", F.lit("")).alias("backend"), "attempt", (text_or_empty(F.col("model_answer")) == "").alias("failed"))
+    whole, failed = scratch_path(spark, "results"), scratch_path(spark, "failures")
+    writers.write_with_failures(rows, "failed", whole, failed, ["backend", "attempt"])
+    of = lambda path, name: spark.read.schema(rows.schema).parquet(path).groupBy("backend", "attempt").agg(F.count(F.lit(1)).alias(name))
+    return of(whole, "rows").join(of(failed, "failures"), ["backend", "attempt"], "left").select("backend", "attempt", "rows", F.coalesce("failures", F.lit(0)).alias("failures"))
