@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -70,6 +71,16 @@ def generate(df: DataFrame, make: Callable[[], Provider], prompt: str, out: str,
     return materialize(df.mapInPandas(run, schema), "generated")
 
 
+def generate_once(df: DataFrame, make: Callable[[], Provider], keys: list[str], prompt: str, out: str, attempts: int = 3) -> DataFrame:
+    """Like `generate`, but rows that are equal in ``keys`` (an item and its answer, say) are asked
+    about once, with the prompt one of them has, and share the text."""
+    once = df.groupBy(*keys).agg(F.min(prompt).alias("_prompt"))
+    told = generate(once, make, "_prompt", out, attempts).drop("_prompt")
+    named = told.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], out)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return df.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def score(df: DataFrame, make: Callable[[], Provider], prompt: str, answer: str, out: str) -> DataFrame:
     """``df`` with the log-probability of each answer; distinct (prompt, answer) pairs are scored
     once and joined back."""

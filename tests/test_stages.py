@@ -168,3 +168,14 @@ def test_runs_over_a_benchmark(spark):
     df = spark.createDataFrame([("blank", 3), ("long", 3), ("plain", 2)], "p string, gold long")
     got = {r["p"]: (r["raw_output"], r["predicted_answer"], r["correct"], r["budget_forced"], r["force_reason"]) for r in provider.evaluate(df, Slow, "p", "gold", answers.boxed_int, " STOP</think> ").collect()}
     assert got == {"blank": ("\\boxed{3}", 3, True, True, "empty"), "long": ("<think>on and on STOP</think> \\boxed{3}", 3, True, True, "no_close"), "plain": ("\\boxed{3}", 3, False, False, None)}
+
+
+class Counting(provider.FakeProvider):
+    def generate(self, prompts):
+        return [f"{p} of {len(prompts)}" for p in prompts]
+
+
+def test_equal_keys_are_asked_once(spark):
+    df = spark.createDataFrame([(1, "a", "p"), (1, "a", "p"), (1, None, "q"), (1, None, "q"), (2, "a", "r")], "id int, answer string, prompt string").coalesce(1)
+    got = provider.generate_once(df.coalesce(1), Counting, ["id", "answer"], "prompt", "text").collect()
+    assert sorted(r["text"].split(" ")[0] for r in got) == ["p", "p", "q", "q", "r"] and len({r["text"] for r in got}) == 3
