@@ -372,7 +372,7 @@ def fit_languages(docs: DataFrame, per_language: int = FIT_DOCS, share: float =
     on ``per_language`` documents of each, whole texts. Trigrams are counted on the executors."""
     labelled = docs.where("lang is not null and length(text) > 100")
     size = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    enough = size.crossJoin(F.broadcast(size.agg(F.sum("n").alias("all")))).where(F.col("n") >= share * F.col("all")).select("lang")  # all: one row
+    enough = size.where(F.col("n") >= share * (size.agg(F.sum("n")).first()[0] or 0)).select("lang")
     drawn = top_by(labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")), ["lang"], [F.col("h")], per_language).join(enough, "lang", "left_semi").select("lang", "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -159,15 +159,15 @@ def cutting_endings(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     or away from limits where encoding is null.
     """
     away = counts.where("encoding is null").groupBy("shape").agg(F.sum("n").alias("away"))
-    total = counts.where("encoding is null").agg(F.sum("n").alias("all_away"))
+    all_away = counts.where("encoding is null").agg(F.sum("n")).first()[0] or 1
     at = counts.where("encoding is not null")
     own = at.groupBy("source", "encoding", "length", "expected").agg(F.sum("n").alias("own")).where(_beyond(F.col("own"), F.col("expected")))  # not the echo of another limit
     real = at.join(own.select(F.col("source").alias("_s"), F.col("encoding").alias("_c"), F.col("length").alias("_l")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("encoding") == F.col("_c")) & (F.col("length") == F.col("_l"))).drop("_s", "_c", "_l")
-    real = real.where(F.col("shape").isin(LEARNED)).join(away, "shape", "left").crossJoin(F.broadcast(total))  # one row
-    share = F.coalesce(F.col("away") / F.col("all_away"), F.lit(0.0))
+    real = real.where(F.col("shape").isin(LEARNED)).join(away, "shape", "left")
+    share = F.coalesce(F.col("away") / all_away, F.lit(0.0))
     here = real.where(_beyond(F.col("n"), F.col("expected") * share)).select("source", "encoding", "length", "shape")
-    pooled = real.groupBy("shape").agg(F.sum("n").alias("n"), F.first(share).alias("share")).crossJoin(F.broadcast(own.agg(F.sum("own").alias("all_at"))))
-    usual = F.col("all_at") * F.col("share")
+    pooled = real.groupBy("shape").agg(F.sum("n").alias("n"), F.first(share).alias("share"))
+    usual = (own.agg(F.sum("own")).first()[0] or 0) * F.col("share")
     return pooled.where(_beyond(F.col("n"), usual) & (F.col("n") >= LIFT * usual)).select("shape"), here
 
 
