@@ -172,11 +172,10 @@ def _member(v: Column, *names: str) -> Column:
     return F.coalesce(*[F.try_variant_get(v, f"$.{n}", "string") for n in names])
 
 
-def confidence_judgement(c: Column, least: int) -> Column:
-    """(judgment, confidence, passed, corrected_answer, feedback) of a judge's text, thinking taken
-    off. It passes on a yes with a confidence of at least ``least``; feedback says what was wrong
+def judgement_of(v: Column, least: int) -> Column:
+    """(judgment, confidence, passed, corrected_answer, feedback) of a judge's object, as
+    `json_object` gives it: best a column of its own, since it is read several times. It passes on a yes with a confidence of at least ``least``; feedback says what was wrong
     with the output where that is why it fails."""
-    v = json_object(c)
     said = F.lower(text_or_empty(_member(v, "judgment", "verdict")))
     word = F.when(said.isin("yes", "no"), said)
     sure = clamp_confidence(_member(v, "confidence", "confidence_score"))

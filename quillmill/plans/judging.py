@@ -49,8 +49,8 @@ select judge_no, judgment, confidence, coalesce(judgment = 'yes' and confidence
   when judgment is null or confidence is null then coalesce(nullif(why, ''), 'Judge output lacked a valid yes/no judgment or confidence score.') else why end as feedback from v""")
 def confidence_judge(spark: SparkSession, d: str) -> DataFrame:
     """Every judgement: yes with a confidence of 5 or more passes; an output that cannot be read does not."""
-    j = answers.confidence_judgement(text.strip_think_last(F.coalesce("raw_output", F.lit(""))), 5)
-    return v.judges(spark, d).select("judge_no", j.alias("j")).select("judge_no", "j.*")
+    read = v.judges(spark, d).select("judge_no", answers.json_object(text.strip_think_last(F.coalesce("raw_output", F.lit("")))).alias("v"))
+    return read.select("judge_no", answers.judgement_of(F.col("v"), 5).alias("j")).select("judge_no", "j.*")
 
 
 @register("judge_json", f"""with {JUDGE}, x as (select judge_no, {strip_sql("case when starts_with(raw_output, '```') then regexp_replace(regexp_replace(raw_output, '^```(?:json)?\\s*', '', 'i'), '\\s*```\\s*$', '') else coalesce(raw_output, '') end")} as t from judge),

@@ -69,8 +69,8 @@ def test_domain_names_by_ladder():
 
 def test_judgements_keep_what_cannot_be_read(spark):
     cases = ['{"judgment": "Yes", "confidence": "8.4", "explanation": " e "}', '<think>{"judgment": "no"}</think>```json\n{"verdict": "yes", "confidence_score": 3}\n```', "so {'judgment': 'no', 'confidence': 12, 'ideal_answer': 'x'} done", "nothing", "[1]", '{"judgment": "maybe"}', None]
-    j = answers.confidence_judgement(text.strip_think_last(F.coalesce("t", F.lit(""))), 5)
-    got = [tuple(r[0]) for r in spark.createDataFrame([(x,) for x in cases], "t string").select(j).collect()]
+    read = spark.createDataFrame([(x,) for x in cases], "t string").select(answers.json_object(text.strip_think_last(F.coalesce("t", F.lit("")))).alias("v"))
+    got = [tuple(r[0]) for r in read.select(answers.judgement_of(F.col("v"), 5)).collect()]
     unread = (None, None, False, "", "Judge output was not parseable JSON.")
     assert got[0] == ("yes", 8, True, "", "e") and got[1] == ("yes", 3, False, "", "Judge returned yes with confidence 3, below threshold 5.")
     assert got[2] == ("no", 10, False, "x", "") and got[3] == got[4] == got[6] == unread
