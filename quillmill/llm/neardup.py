@@ -14,7 +14,10 @@ may be missing must find at least (units - missing) of its pairs in every partne
 * the asked pairs (and single tokens, where needed) are indexed in blocks of bounded size in the
   shared folder, and every set is looked up in every block with all pairs of its segments;
 * two sets that meet in fewer pairs than the pigeonhole demands are dropped at once, in memory, so
-  chance meetings are never shuffled.
+  chance meetings are never shuffled;
+* so are two sets whose bitmaps (a bit for each token's hash) show that too many tokens of one are
+  missing in the other. In large tables most keys are dear, sets ask with hardly more units than may
+  be missing, and the demand alone lets chance meetings pass.
 
 What is left is compared exactly, word by word. Exact copies are one set from the start.
 
@@ -44,7 +47,7 @@ from quillmill.llm.prompts import WordHashes, jaccard, mix, scene_of, shingles,
 from quillmill.llm import sql
 from quillmill.llm.registry import register
 from quillmill.llm.sketch import count_sketch, set_batches, slot, slots_for
-from quillmill.session import materialize, scratch_path, table
+from quillmill.session import discard, materialize, scratch_path, short_shuffles, table, written
 
 #: Counters of the sketch per set.
 SLOTS_PER_SET = 64
@@ -57,6 +60,10 @@ DEAR = 300
 #: Sets whose asks form a block (about 500 bytes each in a worker), its slots, sets looked up at
 #: once, and meetings sorted at once.
 BLOCK_SETS, BLOCK_SLOTS, SCAN_SETS, MEETINGS = 60_000, 1 << 22, 30_000, 1_000_000
+#: Words of bitmaps compared at once (a few times 8 bytes each).
+BITMAP_WORDS = 1 << 20
+#: Bits of a set's bitmap for each of its words, on average, and the least and most of them.
+BITS_PER_WORD, LEAST_BITS, MOST_BITS = 4, 512, 8192
 #: Asked keys of a set that may find it a representative; what they miss the look-up finds.
 STAR_KEYS = 12
 
@@ -142,6 +149,13 @@ def _asks(keys: Keys, size: np.ndarray, cost: np.ndarray, slots: int, t: Fractio
     return np.concatenate((row[keys.left][use], row[lone])), np.concatenate((keys.pairs[use], keys.singles[lone])), total
 
 
+def bitmaps(row: np.ndarray, h: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A row of ``bits`` bits for each of ``n`` sets, with the bit of each of its tokens set."""
+    on = np.zeros(n * bits, bool)
+    on[row * bits + (h & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(on.reshape(n, bits), axis=1).view(np.uint64)
+
+
 class Block:
     """Asked keys of some sets, by slot; in a slot the sets of one group stand side by side, as a run."""
 
@@ -150,6 +164,7 @@ class Block:
         self.no = rows["no"].to_numpy()
         self.size = rows["size"].to_numpy().astype(np.int64)
         self.units = rows["units"].to_numpy().astype(np.int64)
+        self.bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(self.no), -1) if len(self.no) else np.zeros((0, 1), np.uint64)
         root = self.no.copy()
         who = linked["no"].to_numpy()
         order = np.argsort(who)
@@ -157,9 +172,9 @@ class Block:
         known = np.flatnonzero(place < len(who))
         known = known[who[order][place[known]] == self.no[known]]
         root[known] = linked["root"].to_numpy()[order][place[known]]
-        keys = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
-        of = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        at = slot(np.concatenate(keys) if keys else np.zeros(0, np.uint64), BLOCK_SLOTS)
+        slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
+        of = np.repeat(np.arange(len(slots)), [len(x) for x in slots])
+        at = np.concatenate(slots) if slots else np.zeros(0, np.int32)
         order = np.lexsort((root[of], at))
         self.asks, at, group = of[order].astype(np.int64), at[order], root[of][order]
         new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (group[1:] != group[:-1])))) if len(at) else np.zeros(0, np.int64)
@@ -168,10 +183,10 @@ class Block:
         self.start = np.zeros(BLOCK_SLOTS + 1, np.int32)  # first run of each slot
         np.cumsum(np.bincount(at[new], minlength=BLOCK_SLOTS), out=self.start[1:])
 
-    def meetings(self, row: np.ndarray, at: np.ndarray, no: np.ndarray, size: np.ndarray, root: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(number of the smaller set, of the larger) that are in different groups and meet often
-        enough; ``row`` and ``at`` are the rows and slots of the keys the larger sets hold, ordered
-        by row, ``root`` the group of each set."""
+    def meetings(self, row: np.ndarray, at: np.ndarray, no: np.ndarray, size: np.ndarray, root: np.ndarray, bits: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number of the smaller set, of the larger) that are in different groups, meet often
+        enough and may be similar by their bitmaps; ``row`` and ``at`` are the rows and slots of the
+        keys the larger sets hold, ordered by row, ``root`` the group of each set."""
         first = self.start[at].astype(np.int64)
         count = self.start[at + 1] - first
         hit = count > 0
@@ -196,12 +211,21 @@ class Block:
             na, nb, num, den = self.size[a], size[b], t.numerator, t.denominator
             missing = na + (-num * (na + nb)) // (num + den)
             ok = (met >= self.units[a] - missing) & ((na < nb) | (na == nb) & (self.no[a] < no[b])) & (nb * num <= na * den)
+            a, b, missing, more = a[ok], b[ok], missing[ok], (nb - na)[ok]
+            step = max(1, BITMAP_WORDS // bits.shape[1])
+            near = [np.zeros(0, bool)]
+            for i in range(0, len(a), step):
+                s = slice(i, i + step)
+                x, y = self.bits[a[s]], bits[b[s]]
+                # a bit that only one of them has is a token that the other lacks
+                near.append((np.bitwise_count(x & ~y).sum(axis=1) <= missing[s]) & (np.bitwise_count(y & ~x).sum(axis=1) <= missing[s] + more[s]))
+            ok = np.concatenate(near)
             yield self.no[a[ok]], no[b[ok]]
             cut = end
 
 
 _LOADED: dict[str, Block] = {}
-_ASKS = pa.schema([("no", pa.int64()), ("size", pa.int32()), ("units", pa.int32()), ("keys", pa.binary())])
+_ASKS = pa.schema([("no", pa.int64()), ("size", pa.int32()), ("units", pa.int32()), ("slots", pa.binary()), ("bits", pa.binary())])
 _LINKED = pa.schema([("no", pa.int64()), ("root", pa.int64())])
 
 
@@ -229,7 +253,8 @@ def _block_of(no: np.ndarray, blocks: int) -> np.ndarray:
 def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -> DataFrame:
     """(a, b), a < b, of texts with similarity ``t`` or more: all of them, or with ``stars`` enough
     of them to connect the same texts."""
-    n = sets.count()
+    n, chars = sets.agg(F.count(F.lit(1)), F.avg(F.length("text"))).first()
+    bits = 1 << int(np.clip(np.ceil(np.log2(BITS_PER_WORD * (chars or 0) / 6 + 1)), np.log2(LEAST_BITS), np.log2(MOST_BITS)))  # a word has about six characters
     spark = sets.sparkSession
     slots = slots_for(n, SLOTS_PER_SET)
 
@@ -252,11 +277,13 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
                 key = key[order]
                 no = part["no"].to_numpy()
                 first = [np.sort(key[x:y])[:STAR_KEYS].astype(np.int64) for x, y in zip(cuts[:-1], cuts[1:])]
-                out = {"no": no, "size": size, "units": units, "keys": [key[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], "first": first, "block": _block_of(no, blocks)}
+                at = slot(key, BLOCK_SLOTS).astype(np.int32)
+                seen = bitmaps(row, h, len(part), bits)
+                out = {"no": no, "size": size, "units": units, "slots": [at[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], "bits": [x.tobytes() for x in seen], "first": first, "block": _block_of(no, blocks)}
                 yield pd.DataFrame(out)[np.diff(cuts) > 0]
 
     asks = scratch_path(spark, "asks")
-    schema = "no long, size int, units int, keys binary, first array<long>, block int"
+    schema = "no long, size int, units int, slots binary, bits binary, first array<long>, block int"
     sets.select("no", "text").mapInPandas(ask, schema).write.partitionBy("block").parquet(asks)
     texts = sets.select("no", "text")
 
@@ -270,9 +297,10 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
         both = candidates.join(texts.select(F.col("no").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("no").alias("b"), F.col("text").alias("tb")), "b")
         return both.mapInPandas(compare, "a long, b long")
 
-    star, linked, looked_up = None, None, texts.withColumn("root", F.col("no"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // SCAN_SETS))
+    star, linked, looked_up = None, None, texts.withColumn("root", F.col("no")).repartition(tasks)
     if stars:
-        star = materialize(verified(_representatives(spark.read.schema(schema).parquet(asks))), "star")
+        star = materialize(verified(materialize(_representatives(spark.read.schema(schema).parquet(asks)), "reps")), "star")
         root = connected_components(star).withColumnRenamed("node", "no")
         linked = scratch_path(spark, "linked")
 
@@ -281,7 +309,9 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
                 yield pdf.assign(block=_block_of(pdf["no"].to_numpy(), blocks))
 
         root.mapInPandas(placed, "no long, root long, block int").write.partitionBy("block").parquet(linked)
-        looked_up = texts.join(spark.read.schema("no long, root long, block int").parquet(linked).select("no", "root"), "no", "left").select("no", "text", F.coalesce("root", "no").alias("root"))
+        roots = spark.read.schema("no long, root long, block int").parquet(linked).select("no", "root")
+        looked_up = texts.repartition(tasks, "no").join(roots.repartition(tasks, "no"), "no", "left").select("no", "text", F.coalesce("root", "no").alias("root"))
+        looked_up = looked_up.coalesce(tasks)  # the join may take more partitions; each task loads every block
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -298,11 +328,11 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
                 held = sent.value[slot(key, slots)] > 1
                 of, at = of[held], at[held]
                 order = np.argsort(of, kind="stable")
-                parts.append((of[order], at[order].astype(np.int32), part["no"].to_numpy(), size, part["root"].to_numpy()))
+                parts.append((of[order], at[order].astype(np.int32), part["no"].to_numpy(), size, part["root"].to_numpy(), bitmaps(row, h, len(part), bits)))
             for b in range(blocks):
                 block = _block(asks, linked, b)
-                for of, at, no, size, root in parts:
-                    for x, y in block.meetings(of, at, no, size, root, t):
+                for of, at, no, size, root, seen in parts:
+                    for x, y in block.meetings(of, at, no, size, root, seen, t):
                         yield pd.DataFrame({"a": x, "b": y})
 
         for pdf in batches:
@@ -312,8 +342,10 @@ def _links(sets: DataFrame, t: Fraction, k: int, block_sets: int, stars: bool) -
         if waiting:
             yield from flush()
 
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // SCAN_SETS))
-    candidates = materialize(looked_up.repartition(tasks).mapInPandas(scan, "a long, b long"), "candidates")
+    candidates = materialize(looked_up.mapInPandas(scan, "a long, b long"), "candidates")
+    for path in (asks, linked):
+        if path:
+            discard(path)
     return verified(candidates) if star is None else star.union(verified(candidates))
 
 
@@ -359,11 +391,14 @@ def distinct_sets(texts: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
                 out = pd.DataFrame({"no": part["no"], "set": digest, "text": plain, "size": size})
                 yield out[size > 0]
 
-    rows = materialize(texts.where("no is not null and text is not null").select("no", "text").mapInPandas(keyed, "no long, set binary, text string, size int"), "sets")
+    path = scratch_path(texts.sparkSession, "sets")
+    rows = written(texts.where("no is not null and text is not null").select("no", "text").mapInPandas(keyed, "no long, set binary, text string, size int"), path)
     rep = rows.groupBy("set").agg(F.min("no").alias("rep"))
     member = materialize(rows.select("no", "set").join(rep, "set").groupBy("no").agg(F.min("rep").alias("rep")), "members")
     chosen = rows.join(member.where("no = rep").select("no"), "no").select("no", "text", "size").dropDuplicates(["no"])
-    return member, materialize(chosen, "texts")
+    chosen = materialize(chosen, "texts")
+    discard(path)
+    return member, chosen
 
 
 def near_duplicate_groups(texts: DataFrame, t: Fraction = Fraction(1, 2), k: int = 3) -> DataFrame:
@@ -373,9 +408,10 @@ def near_duplicate_groups(texts: DataFrame, t: Fraction = Fraction(1, 2), k: int
     ``texts`` has (no: bigint, text: string). Null numbers and texts, and texts of fewer than
     ``k`` words, are in no group; a repeated number counts once; an empty table gives no rows.
     """
-    member, sets = distinct_sets(texts, k)
-    comp = connected_components(connecting_pairs(sets, t, k))
-    grouped = materialize(member.join(comp, member["rep"] == comp["node"], "left").select("no", F.coalesce("root", "rep").alias("group_no")), "grouped")
+    with short_shuffles(texts.sparkSession):
+        member, sets = distinct_sets(texts, k)
+        comp = connected_components(connecting_pairs(sets, t, k))
+        grouped = materialize(member.join(comp, member["rep"] == comp["node"], "left").select("no", F.coalesce("root", "rep").alias("group_no")), "grouped")
     several = grouped.groupBy("group_no").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_no")
     return grouped.join(several, "group_no").select("no", "group_no")
 

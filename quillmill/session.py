@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,10 +67,29 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at files that
     survive the loss of an executor, and later readers prune columns."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
+    return written(df, scratch_path(df.sparkSession, label))
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """`materialize` under a path of the caller, who can `discard` it once nothing reads it any more."""
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside give back their shuffle files when they end, not when the driver happens to
+    collect its garbage; whatever is read again has to be written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -84,15 +105,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def release() -> None:
     """Delete the intermediate tables of this process. Results that still read them must have been
     written or collected before."""
+    while _WRITTEN:
+        discard(next(iter(_WRITTEN)))
+
+
+def discard(path: str) -> None:
+    """Delete one intermediate table, which nothing may read any more."""
     import pyarrow.fs
 
-    while _WRITTEN:
-        path = _WRITTEN.pop()
-        try:
-            fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-            fs.delete_dir(at)
-        except (OSError, ValueError):  # gone already, or on a file system only the JVM reaches
-            continue
+    _WRITTEN.discard(path)
+    try:
+        fs, at = pyarrow.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        fs.delete_dir(at)
+    except (OSError, ValueError):  # gone already, or on a file system only the JVM reaches
+        pass
 
 
 _SHIPPED: set[str] = set()

@@ -1,6 +1,8 @@
+import os
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
 from quillmill.llm import neardup
@@ -70,3 +72,52 @@ def test_many_different_near_copies_take_a_star_of_pairs(spark):
     pairs = connecting_pairs(df, block_sets=300)
     assert pairs.count() < 1000  # of 79,800 similar pairs
     assert near_duplicate_groups(df).where("group_no = 0").count() == 400
+
+
+def test_chance_meetings_are_not_written_where_every_key_is_dear(spark, monkeypatch):
+    """As in large tables, whose sketch is full: sets ask with no spare units."""
+    rnd = random.Random(7)
+    sentences = ["there was a {} {} on the floor", "only the {} noticed that the {} was still wet", "it did not help that the {} looked worse than the {}", "nobody has asked for the {} {} before"]
+    fill = [f"f{i}" for i in range(60)]
+    texts = [" ".join(rnd.choice(sentences).format(*rnd.sample(fill, 2)) for _ in range(8)) for _ in range(300)]
+    texts += [x.replace(" the ", " this ", 1) for x in texts[:20]]
+    sets = list({frozenset(shingles(x)): (no, x) for no, x in enumerate(texts)}.values())
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and jaccard(shingles(x), shingles(y)) >= Fraction(1, 2)}
+    monkeypatch.setattr(neardup, "count_sketch", lambda sets, slots, keys_of, k: np.full(slots, 65535, np.uint16))
+    counts, write = {}, neardup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", counted)
+    got = {tuple(r) for r in similar_pairs(spark.createDataFrame(sets, "no long, text string"), block_sets=200).collect()}
+    assert got == want and len(want) >= 20
+    assert counts["candidates"] <= len(want) + 0.01 * len(sets) ** 2 / 2
+
+
+def test_bitmaps_show_no_more_missing_tokens_than_there_are():
+    rnd = np.random.default_rng(5)
+    pool = rnd.integers(0, 1 << 63, 400, dtype=np.uint64)
+    own = [rnd.choice(pool, rnd.integers(0, 200), replace=False) for _ in range(40)]
+    row, h = np.repeat(np.arange(40), [len(x) for x in own]), np.concatenate(own)
+    for bits in (64, 512):
+        seen = neardup.bitmaps(row, h, 40, bits)
+        assert seen.shape == (40, bits // 64)
+        for i in range(40):
+            for j in range(40):
+                shown = int(np.bitwise_count(seen[i] & ~seen[j]).sum())
+                assert shown <= len(set(own[i].tolist()) - set(own[j].tolist()))
+
+
+def test_what_is_not_read_again_leaves_the_disk(spark):
+    from quillmill.session import shared_dir
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: {x.rsplit("-", 1)[0] + x[-32:] for x in os.listdir(shared_dir(spark).removeprefix("file://"))}
+    before, setting = held(), spark.conf.get(name)
+    assert near_duplicate_groups(spark.createDataFrame(list(enumerate(corpus(3, 80))), "no long, text string")).count() > 0
+    new = {x[:-32] for x in held() - before}
+    assert "texts" in new and not new & {"sets", "asks", "linked"}
+    assert spark.conf.get(name) == setting
